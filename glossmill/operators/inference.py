@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from glossmill.functions.chat import causal_prompt, chat_prompt
 from glossmill.functions.jsontext import error_json, strict_object
 from glossmill.schemas import PREDICTED, SAMPLE_KEY
+from glossmill.session import computed_once
 
 Generator = Callable[[list[str]], list[str]]
 SAMPLE_INFO = ["doc_id", "subject_id", "object_id"]
@@ -63,7 +64,7 @@ def parse_predictions(predictions: DataFrame, raw: str = "raw_text") -> DataFram
     The text must be exactly one JSON object: code fences or trailing words make it malformed, and an
     error object with the text is stored instead.  A line break in valid JSON is only ever layout.
     """
-    parsed = predictions.withColumn("prediction", strict_object(F.col(raw), PREDICTED))
+    parsed = computed_once(predictions, "prediction", strict_object(F.col(raw), PREDICTED))
     flagged = parsed.withColumn("malformed", F.col("prediction").isNull())
     one_line = F.trim(F.regexp_replace(F.col(raw), r"[\r\n\t]+", " "))
     stored = F.when(F.col("malformed"), error_json(F.coalesce(F.col(raw), F.lit("")))).otherwise(one_line)

@@ -114,7 +114,7 @@ def standardize(lines: DataFrame) -> DataFrame:
             *ORDER_KEY[:1], "source", *ORDER_KEY[1:],
             F.coalesce(record["id"], F.lit("")).alias("doc_id"),
             "text", words(F.col("text")).alias("words"), "entities", "relations", "language",
-            F.size("entities").alias("n_entities"),
+            F.coalesce(F.size(record["entities"]), F.lit(0)).alias("n_entities"),
         )
     )
 

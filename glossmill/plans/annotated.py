@@ -16,7 +16,7 @@ from glossmill.operators.inference import parse_predictions
 from glossmill.operators.pairs import entity_pairs, label_pairs
 from glossmill.operators.standardize import standardize
 from glossmill.schemas import ORDER_KEY, PAIR_POS
-from glossmill.session import spread
+from glossmill.session import computed_once, spread
 
 ENTITY_LENGTH = 10
 SENTENCES_PER_DOC = 100_000
@@ -109,9 +109,9 @@ def raw_lines(spark: SparkSession, sf_dir: str, hint: str = "auto") -> DataFrame
         F.when(has_vi, F.col("sentence")).alias("vi_sentence_str"),
         F.transform("ents", entity).alias("entities"), F.transform("rels", relation).alias("relations"),
     )
-    return rows.select(
+    return computed_once(rows, "value", F.to_json(record)).select(
         F.lit(0).alias("source_idx"), F.lit("documents").alias("source"), F.lit(hint).alias("hint"),
-        F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), "seq", F.to_json(record).alias("value"),
+        F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), "seq", "value",
     )
 
 

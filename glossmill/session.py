@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def build_session(cores: int | str = "*", name: str = "glossmill", **conf: str) -> SparkSession:
@@ -58,6 +58,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is evaluated exactly once per row.
+
+    A filter on a plain computed column is pushed below it and computes it again, once per mention.
+    Filters cannot pass a generator whose output they use.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition on ``keys`` when the scan has fewer partitions than cores; otherwise leave it alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -12,6 +12,7 @@ from glossmill.functions.jsontext import strict_object
 from glossmill.functions.text import strip
 from glossmill.operators.standardize import standardize
 from glossmill.schemas import LANGUAGE_HINTS, LINE, ORDER_KEY, RAW_RECORD
+from glossmill.session import computed_once
 
 
 def check_hint(hint: str) -> str:
@@ -93,7 +94,7 @@ def split_malformed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         raw = F.get_json_object("value", f"$.{name}")
         return F.when(there & F.col(f"_record.{name}").isNull(), F.coalesce(raw, F.lit("null")) != "null").otherwise(False)
 
-    marked = lines.withColumn("_record", record).withColumn(
+    marked = computed_once(lines, "_record", record).withColumn(
         "reason",
         F.when(F.col("_record").isNull(), "not a JSON object")
         .when(lost("entities"), "entities is not a list of objects")

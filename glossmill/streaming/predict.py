@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from glossmill.operators.inference import SAMPLE_INFO, Generator, parse_predictions, predict, with_prompt
@@ -29,19 +29,23 @@ def predict_stream(
 ) -> StreamingQuery:
     """Process every file that has arrived since the last run and stop.
 
-    The checkpoint remembers the files already read and the Parquet sink commits whole micro-batches,
-    so running it again, also after a failure, neither loses nor repeats a line.
+    The checkpoint fixes which files belong to which micro-batch, and a micro-batch owns one folder of
+    the target that it replaces as a whole.  Running again, also after a failure half-way, therefore
+    neither loses nor repeats a line.  A micro-batch counts as one source, which keeps keys unique.
     """
     check_hint(hint)
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    lines = lines_of(with_order_key(reader.load(source), 0), source, hint)
-    samples = build_samples(standardize(lines), format, task, re_mode)
     keep = [*ORDER_KEY, *PAIR_POS, *SAMPLE_INFO]
-    answers = parse_predictions(predict(with_prompt(samples), make_generator, batch_size, keep))
+
+    def write_batch(lines: DataFrame, batch_id: int) -> None:
+        documents = standardize(lines_of(with_order_key(lines, batch_id), source, hint))
+        samples = with_prompt(build_samples(documents, format, task, re_mode))
+        answers = parse_predictions(predict(samples, make_generator, batch_size, keep))
+        answers.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     return (
-        answers.writeStream.format("parquet")
-        .option("path", target).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        reader.load(source).select("value", "_metadata").writeStream.foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
