@@ -15,11 +15,15 @@ _STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "maxStringLen": s
 def quote(col: Column) -> Column:
     """A JSON string literal; non-ASCII text is kept as it is."""
     plain = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = plain
-    for code in range(0x20):
-        char = chr(code)
-        escaped = F.replace(escaped, F.lit(char), F.lit(SHORT_ESCAPES.get(char, f"\\u{code:04x}")))
-    body = F.when(col.rlike("[\\x00-\\x1f]"), escaped).otherwise(plain)
+
+    def escape(char: Column) -> Column:
+        out = F.when(char >= " ", char)
+        for short, text in SHORT_ESCAPES.items():
+            out = out.when(char == short, text)
+        return out.otherwise(F.concat(F.lit("\\u00"), F.lower(F.hex(char))))
+
+    spelled = F.array_join(F.transform(F.split(plain, ""), escape), "")
+    body = F.when(col.rlike("[\\x00-\\x1f]"), spelled).otherwise(plain)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

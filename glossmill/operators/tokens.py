@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glossmill.functions.chat import chat_full, chat_prompt
+from glossmill.functions.chat import TURN_END, chat_full, chat_prompt, chat_turn, open_turn
 from glossmill.operators.ids import with_dense_id
 
 # The label the loss skips.
@@ -77,19 +77,48 @@ def loss_labels(ids: Column, prompt_length: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(IGNORE), masked), F.slice(ids, masked + 1, F.size(ids)))
 
 
+def _token_parts(samples: DataFrame) -> tuple[Column, Column, Column]:
+    """Default tokens of the system turn, the user turn with the opened answer, and the answer."""
+    user = F.concat(chat_turn(F.lit("user"), F.col("user")), open_turn())
+    return (
+        tokens(chat_turn(F.lit("system"), F.col("system"))), tokens(user),
+        tokens(F.concat(F.col("assistant"), F.lit(TURN_END))),
+    )
+
+
+def instruction_prompt_length(samples: DataFrame) -> DataFrame:
+    """Add the number of default tokens before the answer."""
+    system, user, _ = _token_parts(samples)
+    return samples.withColumn("prompt_length", F.size(system) + F.size(user))
+
+
 def instruction_tokens(
     samples: DataFrame,
     keep: list[str],
     max_len: int = MAX_LENGTH,
     make_encoder: Callable[[], Encoder] | None = None,
 ) -> DataFrame:
-    """Token rows of instruction samples: ids, mask, prompt length and loss labels."""
-    chats = samples.select(
-        *keep,
-        chat_full(F.col("system"), F.col("user"), F.col("assistant")).alias("_full"),
-        chat_prompt(F.col("system"), F.col("user")).alias("_prompt"),
-    )
-    rows = tokenize(with_prompt_length(chats, "_prompt", make_encoder), "_full", max_len, make_encoder)
+    """Token rows of instruction samples: ids, mask, prompt length and loss labels.
+
+    The default tokens never span white space, and every chat turn ends in a line break, so each part
+    is tokenised once; the constant system turn folds to a literal list.  A caller's encoder may merge
+    across parts and gets the whole texts.
+    """
+    if make_encoder is None:
+        system, user, answer = _token_parts(samples)
+        parts = samples.select(*keep, system.alias("_system"), user.alias("_user"), answer.alias("_answer"))
+        whole = F.concat("_system", "_user", "_answer")
+        rows = parts.select(
+            *keep, (F.size("_system") + F.size("_user")).alias("prompt_length"),
+            hashed_ids(F.slice(whole, 1, max_len)).alias("input_ids"),
+        ).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    else:
+        chats = samples.select(
+            *keep,
+            chat_full(F.col("system"), F.col("user"), F.col("assistant")).alias("_full"),
+            chat_prompt(F.col("system"), F.col("user")).alias("_prompt"),
+        )
+        rows = tokenize(with_prompt_length(chats, "_prompt", make_encoder), "_full", max_len, make_encoder)
     return rows.select(
         *keep, "input_ids", "attention_mask", "prompt_length",
         loss_labels(F.col("input_ids"), F.col("prompt_length")).alias("labels"),

@@ -16,7 +16,7 @@ from glossmill.operators.inference import parse_predictions
 from glossmill.operators.pairs import entity_pairs, label_pairs
 from glossmill.operators.standardize import standardize
 from glossmill.schemas import ORDER_KEY, PAIR_POS
-from glossmill.session import computed_once, spread
+from glossmill.session import computed_once, spread, written
 
 ENTITY_LENGTH = 10
 SENTENCES_PER_DOC = 100_000
@@ -142,6 +142,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize(raw_lines(spark, sf_dir))
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a written table, for queries that use them more than once."""
+    return written(documents(spark, sf_dir), "documents")
+
+
 # ---- stand-in for a model's answers -----------------------------------------------------------
 
 def joint_answers(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from glossmill.operators.standardize import (
     clean_text, parse_lines, project_language, relation_endpoints, standardize, with_resolved_spans,
 )
 from glossmill.operators.tokens import (
-    instruction_tokens, pad_batches, token_lengths, tokenize, tokens, with_prompt_length,
+    instruction_prompt_length, instruction_tokens, pad_batches, token_lengths, tokenize, tokens,
 )
 from glossmill.plans import annotated as A
 from glossmill.schemas import ORDER_KEY, PAIR_POS, RECORD_KEY, SAMPLE_KEY
@@ -53,6 +53,10 @@ def _docs(spark, sf):
     return A.documents(spark, sf)
 
 
+def _stored(spark, sf):
+    return A.stored_documents(spark, sf)
+
+
 # ---- sources and sinks ------------------------------------------------------------------------
 
 def _gold_lines(spark, sf):
@@ -112,7 +116,7 @@ def pred_sink_roundtrip(spark, sf):
 def merge_parts(spark, sf):
     """Two appended parts read as one, then ordered by sample id."""
     path = scratch_path(spark, "parts")
-    answers = with_dense_id(A.joint_predictions(_docs(spark, sf)), DOC_ORDER)
+    answers = with_dense_id(A.joint_predictions(_stored(spark, sf)), DOC_ORDER)
     for malformed in (False, True):
         write_predictions(answers.filter(F.col("malformed") == malformed), path)
     return read_predictions(spark, path).select("id", "doc_id", "stored").orderBy("id")
@@ -222,23 +226,23 @@ def _pair_columns(*more):
 
 @query("entity_pairs")
 def all_entity_pairs(spark, sf):
-    return entity_pairs(_docs(spark, sf)).select(*_pair_columns())
+    return entity_pairs(_stored(spark, sf)).select(*_pair_columns())
 
 
 @query("valid_pairs")
 def valid_pairs(spark, sf):
-    rows = entity_pairs(_docs(spark, sf), Ontology.default())
+    rows = entity_pairs(_stored(spark, sf), Ontology.default())
     return rows.select(*_pair_columns(F.col("subject.label").alias("subject_label"), F.col("object.label").alias("object_label")))
 
 
 @query("pair_labels")
 def pair_labels(spark, sf):
-    return A.pair_rows(_docs(spark, sf)).select("seq", "subj_pos", "obj_pos", "relation")
+    return A.pair_rows(_stored(spark, sf)).select("seq", "subj_pos", "obj_pos", "relation")
 
 
 @query("entity_markers")
 def entity_markers(spark, sf):
-    return mark_pairs(entity_pairs(_docs(spark, sf), Ontology.default())).select("seq", "subj_pos", "obj_pos", "marked")
+    return mark_pairs(entity_pairs(_stored(spark, sf), Ontology.default())).select("seq", "subj_pos", "obj_pos", "marked")
 
 
 # ---- rendering --------------------------------------------------------------------------------
@@ -255,7 +259,7 @@ def gold_ner_json(spark, sf):
 
 @query("gold_pair_json")
 def gold_pair_json(spark, sf):
-    return A.pair_rows(_docs(spark, sf)).select("seq", "subj_pos", "obj_pos", pair_json(F.col("relation")).alias("gold"))
+    return A.pair_rows(_stored(spark, sf)).select("seq", "subj_pos", "obj_pos", pair_json(F.col("relation")).alias("gold"))
 
 
 @query("gold_re_json")
@@ -278,7 +282,8 @@ def _sample_query(format, task, re_mode):
     text = ["text"] if format == "causal" else ["system", "user", "assistant"]
 
     def run(spark, sf):
-        samples = build_samples(_docs(spark, sf), format, task, re_mode)
+        docs = _stored(spark, sf) if re_mode == "pairwise" else _docs(spark, sf)
+        samples = build_samples(docs, format, task, re_mode)
         return samples.select("seq", *PAIR_POS, "doc_id", "subject_id", "object_id", *text)
 
     return run
@@ -291,7 +296,7 @@ for _format in ("causal", "instruction"):
 
 @query("samples_per_mode")
 def samples_per_mode(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     counts = [
         build_samples(docs, format, task, re_mode).agg(F.count(F.lit(1)).alias("n_samples")).select(
             F.lit(f"{format}/{mode}").alias("mode"), "n_samples"
@@ -350,8 +355,7 @@ def tokenized(spark, sf):
 
 @query("prompt_lengths")
 def prompt_lengths(spark, sf):
-    prompts = _instructions(spark, sf).select("seq", chat_prompt(F.col("system"), F.col("user")).alias("prompt"))
-    return with_prompt_length(prompts, "prompt").select("seq", "prompt_length")
+    return instruction_prompt_length(_instructions(spark, sf)).select("seq", "prompt_length")
 
 
 @query("loss_mask")
@@ -378,14 +382,14 @@ def eval_subset(spark, sf):
 
 @query("step_budget")
 def step_budget_rows(spark, sf):
-    return step_budget(A.pair_rows(_docs(spark, sf)), 8, 4, 3, 0.1)
+    return step_budget(A.pair_rows(_stored(spark, sf)), 8, 4, 3, 0.1)
 
 
 # ---- inference --------------------------------------------------------------------------------
 
 @query("dense_id")
 def dense_id(spark, sf):
-    rows = A.pair_rows(_docs(spark, sf)).select("seq", "subj_pos", "obj_pos")
+    rows = A.pair_rows(_stored(spark, sf)).select("seq", "subj_pos", "obj_pos")
     return with_dense_id(rows, ["seq", "subj_pos", "obj_pos"])
 
 
@@ -402,7 +406,7 @@ def shards(spark, sf):
 @query("resume_pending")
 def resume_pending(spark, sf):
     """Pair samples whose answer was not usable JSON are still to be done."""
-    preds = A.pair_predictions(_docs(spark, sf))
+    preds = A.pair_predictions(_stored(spark, sf))
     done = preds.filter(~F.col("malformed"))
     return pending(preds.select(*SAMPLE_KEY, "subject_id", "object_id"), done).select(
         "seq", "subj_pos", "obj_pos", "subject_id", "object_id"
@@ -441,7 +445,7 @@ def predict_stream_rows(spark, sf):
 
 @query("regroup_pairs")
 def regroup_pairs(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     grouped = scoring.prediction_lines(scoring.regroup_pairs(A.pair_predictions(docs), docs))
     return grouped.select("seq", "doc_id", F.size("predicted").alias("n_relations"), "value")
 
@@ -449,7 +453,7 @@ def regroup_pairs(spark, sf):
 @query("regroup_shared_id")
 def regroup_shared_id(spark, sf):
     """Answers of all sentences of a document gathered under the document's id."""
-    preds = A.pair_predictions(_docs(spark, sf)).withColumn("doc_id", F.split_part("doc_id", F.lit("-"), F.lit(1)))
+    preds = A.pair_predictions(_stored(spark, sf)).withColumn("doc_id", F.split_part("doc_id", F.lit("-"), F.lit(1)))
     numbered = with_dense_id(preds.select("seq", *PAIR_POS, "doc_id", "subject_id", "object_id", "prediction"), ["seq", *PAIR_POS])
     lists = scoring.regroup_by_doc_id(numbered)
     shown = F.transform("relations", lambda r: F.concat_ws(":", r["id"], r["label"], r["subject_id"], r["object_id"]))
@@ -459,7 +463,7 @@ def regroup_shared_id(spark, sf):
 @query("align_predictions")
 def align_predictions(spark, sf):
     """Usable predictions against documents with entities: both sides have rows of their own."""
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     preds = A.joint_predictions(docs).filter(~F.col("malformed")).select("source_idx", "seq", "stored")
     gold = docs.filter(F.col("n_entities") > 0).select("source_idx", "seq", "n_entities")
     return scoring.unmatched_counts(scoring.align(preds, gold))
@@ -483,40 +487,40 @@ def re_sets(spark, sf):
 
 @query("ner_f1")
 def ner_f1(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     return scoring.evaluate(A.joint_predictions(docs), docs, "ner_only")
 
 
 @query("re_f1")
 def re_f1(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     return scoring.evaluate(A.joint_predictions(docs), docs, "re_only", "global")
 
 
 @query("re_f1_pairwise")
 def re_f1_pairwise(spark, sf):
     """One label per pair; the gold label travels with the answer, so nothing is joined."""
-    preds = A.pair_predictions(_docs(spark, sf))
+    preds = A.pair_predictions(_stored(spark, sf))
     aligned = preds.select(pair_label(F.col("prediction")).alias("pred_re"), F.col("relation").alias("gold_re"))
     return scoring.re_metrics(aligned, pairwise=True)
 
 
 @query("eval_joint")
 def eval_joint(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     return scoring.evaluate(A.joint_predictions(docs), docs, "joint")
 
 
 @query("eval_re_pairwise")
 def eval_re_pairwise(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     return scoring.evaluate(A.pair_predictions(docs), docs, "re_only", "pairwise", RECORD_KEY)
 
 
 @query("eval_re_shared_id")
 def eval_re_shared_id(spark, sf):
     """As above with one id for all sentences of a document: each is scored against all answers."""
-    docs = _docs(spark, sf)
+    docs = _stored(spark, sf)
     by_document = F.split_part("doc_id", F.lit("-"), F.lit(1))
     preds = A.pair_predictions(docs).withColumn("doc_id", by_document)
     return scoring.evaluate(preds, docs.withColumn("doc_id", by_document), "re_only", "pairwise")

@@ -17,6 +17,9 @@ def build_session(cores: int | str = "*", name: str = "glossmill", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
+        # Do not record a Python stack trace for every column expression.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
@@ -58,6 +61,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write the rows to a fresh table in the shared folder and read them back.
+
+    For rows used more than once: they are computed once, and later scans read only the columns and
+    row groups they need.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column so that it is evaluated exactly once per row.
 
