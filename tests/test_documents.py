@@ -1,0 +1,174 @@
+"""Sources, standardisation and pairs on hand-written records."""
+
+import json
+
+import pytest
+from conftest import record
+from pyspark.sql import functions as F
+
+from glossmill.ontology import Ontology
+from glossmill.operators.ids import with_dense_id
+from glossmill.operators.pairs import entity_pairs, label_pairs
+from glossmill.operators.standardize import entity_by_id, relation_endpoints
+from glossmill.schemas import ORDER_KEY
+from glossmill.sources import jsonl
+
+
+def load(spark, *entries):
+    return jsonl.load_sources(spark, [e if isinstance(e, tuple) else (e, "auto") for e in entries])
+
+
+def one(spark, lines_file, rec, hint="auto"):
+    return load(spark, (lines_file([rec]), hint)).first()
+
+
+def test_lines_blank_malformed_and_line_ends(spark, lines_file):
+    items = [record("a"), "", "   ", '{"id": "cut', '{"en_sentence_str": "x"} tail', "[1]", "null", "{'en_sentence_str': 'x'}", record("b")]
+    path = lines_file(items, end="\r\n")
+    assert sorted(r.doc_id for r in load(spark, path).collect()) == ["a", "b"]
+    ok, bad = jsonl.split_malformed(jsonl.read_jsonl(spark, path))
+    assert ok.count() == 2 and bad.count() == 5
+    assert {r.reason for r in bad.collect()} == {"not a JSON object"}
+
+
+def test_non_object_elements_are_quarantined(spark, lines_file):
+    items = [{"id": "a", "en_sentence_str": "x", "entities": [1]}, {"id": "b", "en_sentence_str": "x", "relations": "no"},
+             {"id": "c", "en_sentence_str": "x", "entities": None}]
+    _, bad = jsonl.split_malformed(jsonl.read_jsonl(spark, lines_file(items)))
+    assert sorted(r.reason.split()[0] for r in bad.collect()) == ["entities", "relations"]
+
+
+def test_byte_order_mark_keeps_the_line(spark, tmp_path):
+    path = tmp_path / "bom.jsonl"
+    path.write_bytes(b"\xef\xbb\xbf" + json.dumps(record("a")).encode())
+    assert [r.doc_id for r in load(spark, str(path)).collect()] == ["a"]
+
+
+def test_missing_file_and_order(spark, lines_file, tmp_path):
+    a = lines_file([record(f"a{i}") for i in range(50)], "a.jsonl")
+    b = lines_file([record(f"b{i}") for i in range(50)], "b.jsonl")
+    gone = str(tmp_path / "gone.jsonl")
+    docs = load(spark, b, gone, a)
+    ordered = with_dense_id(docs, ORDER_KEY).orderBy("id").collect()
+    assert [r.doc_id for r in ordered] == [f"b{i}" for i in range(50)] + [f"a{i}" for i in range(50)]
+    assert [r.id for r in ordered] == list(range(100))
+    assert {(r.source_idx, r.n_docs) for r in jsonl.source_counts(docs).collect()} == {(0, 50), (2, 50)}
+    present, absent = jsonl.existing_sources(spark, [(a, "auto"), (gone, "en")])
+    assert present == [(a, "auto")] and absent == [(gone, "en")]
+    empty = load(spark, gone)
+    assert empty.count() == 0 and "entities" in empty.columns
+    with pytest.raises(ValueError):
+        jsonl.require_non_empty(empty)
+
+
+def test_order_key_over_file_splits(spark, tmp_path):
+    path = tmp_path / "long.txt"
+    path.write_text("".join(f"line {i}\n" for i in range(20000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        lines = jsonl.with_order_key(spark.read.text(str(path)), 0)
+        assert lines.select("block").distinct().count() > 1
+        rows = with_dense_id(lines, ORDER_KEY).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.value for r in rows] == [f"line {i}" for i in range(20000)]
+
+
+@pytest.mark.parametrize("rec,hint,language,text", [
+    ({"en_sentence_str": "e"}, "auto", "en", "e"), ({"vi_sentence_str": "v"}, "auto", "vi", "v"),
+    ({"en_sentence_str": "e", "vi_sentence_str": "v"}, "auto", "en", "e"),
+    ({"en_sentence_str": "e", "vi_sentence_str": None}, "auto", "en", "e"),
+    ({"en_sentence_str": "e", "vi_sentence_str": "v"}, "vi", "vi", "v"),
+    ({"vi_sentence_str": "v"}, "en", None, None), ({"x": 1}, "auto", None, None),
+    ({"en_sentence_str": None, "vi_sentence_str": "v"}, "auto", None, None),
+    ({"en_sentence_str": "", "entities": [{"id": "T0"}]}, "auto", None, None),
+    ({"en_sentence_str": "  　 "}, "auto", None, None),
+    ({"en_sentence_str": "\x1c a b \x85"}, "auto", "en", "a b"),
+])
+def test_language_and_text(spark, lines_file, rec, hint, language, text):
+    row = one(spark, lines_file, rec, hint)
+    assert (None if row is None else (row.language, row.text)) == (None if language is None else (language, text))
+
+
+def test_unknown_hint(spark, lines_file):
+    with pytest.raises(ValueError):
+        load(spark, (lines_file([record()]), "fr"))
+
+
+def test_entity_defaults(spark, lines_file):
+    rec = {"en_sentence_str": "x y", "entities": [{}, {"id": "Q", "label": "Test", "en_term": "y", "en_start_token_idx": 1, "en_end_token_idx": 1}, {"vi_term": "z"}]}
+    row = one(spark, lines_file, rec)
+    assert row.doc_id == ""
+    assert [tuple(e) for e in row.entities] == [("E0", "UNKNOWN", "", -1, -1), ("Q", "Test", "y", 1, 1), ("E2", "UNKNOWN", "", -1, -1)]
+    bare = one(spark, lines_file, {"id": 7, "en_sentence_str": "x"})
+    assert bare.doc_id == "7" and bare.entities == [] and bare.relations == [] and bare.n_entities == 0
+
+
+def test_relations(spark, lines_file):
+    rec = record(entities=[("A", "Problem", "x", 0, 0), ("B", "Test", "y", 1, 1)])
+    rec["relations"] = [
+        {"label": "PIP", "subject_id": "A", "object_id": "B"}, {"subject_id": "", "head_idx": "B", "object_id": "A"},
+        {"label": "L", "head_idx": "A", "tail_idx": "A"}, {"label": "gone", "subject_id": "Z", "object_id": "A"},
+        {"label": "gone", "subject_id": "A", "object_id": "Z"}, {"label": "gone", "subject_id": "A"},
+    ]
+    row = one(spark, lines_file, rec)
+    assert [tuple(r) for r in row.relations] == [("PIP", "A", "B"), ("UNKNOWN", "B", "A"), ("L", "A", "A")]
+
+
+def test_entity_lookup(spark, lines_file):
+    docs = load(spark, lines_file([record(entities=[("A", "Problem", "x", 0, 0), ("A", "Test", "y", 1, 1)], relations=[("PIP", "A", "A")])]))
+    found = docs.select(entity_by_id(F.col("entities"), F.lit("A")).alias("e"), entity_by_id(F.col("entities"), F.lit("Q")).alias("none")).first()
+    assert found.e.term == "x" and found.none is None
+    assert relation_endpoints(docs).first().object.term == "x"
+
+
+def pairs_of(docs, **kw):
+    rows = label_pairs(entity_pairs(docs, Ontology.default(), **kw)).collect()
+    return sorted((r.doc_id, r.subject.entity_id, r.object.entity_id, r.relation) for r in rows)
+
+
+PAIR_RECORDS = [
+    record("none", entities=[]), record("one", entities=[("A", "Problem", "x", 0, 0)]),
+    record("bad", entities=[("A", "Test", "x", 0, 0), ("B", "Test", "y", 1, 1)], relations=[("TeRP", "A", "B")]),
+    record("two", entities=[("A", "Problem", "x", 0, 0), ("B", "Problem", "y", 1, 1)],
+           relations=[("PIP", "B", "A"), ("PIP2", "B", "A")]),
+    record("three", entities=[("A", "Treatment", "x", 0, 0), ("B", "Problem", "y", 1, 1), ("C", "Test", "z", 2, 2)],
+           relations=[("TrAP", "A", "B"), ("odd", "B", "A")]),
+    record("twins", entities=[("A", "Problem", "x", 0, 0), ("A", "Problem", "y", 1, 1)], relations=[("PIP", "A", "A")]),
+]
+PAIRS = sorted([
+    ("two", "A", "B", "NONE"), ("two", "B", "A", "PIP"), ("three", "A", "B", "TrAP"), ("three", "C", "B", "NONE"),
+    ("twins", "A", "A", "PIP"), ("twins", "A", "A", "PIP"),
+])
+
+
+@pytest.mark.parametrize("split_above", [None, 0, 1, 2, 64])
+def test_pairs(spark, lines_file, split_above):
+    docs = load(spark, lines_file(PAIR_RECORDS))
+    assert pairs_of(docs, split_above=split_above) == PAIRS
+
+
+def test_all_pairs_match_brute_force(spark, lines_file):
+    labels = ["Problem", "Treatment", "Test", "Other"]
+    ents = [(f"T{k}", labels[k % 4], f"w{k}", k, k) for k in range(90)]
+    rels = [("PIP", f"T{k}", f"T{(k * 7) % 90}") for k in range(90)]
+    docs = load(spark, lines_file([record("long", " ".join(f"w{k}" for k in range(90)), ents, rels), record("short", entities=ents[:3])]))
+    every = entity_pairs(docs)
+    assert every.count() == 90 * 89 + 3 * 2
+    allowed = {("Treatment", "Problem"), ("Test", "Problem"), ("Problem", "Problem")}
+    first = {}
+    for label, s, o in rels:
+        first.setdefault((s, o), label)
+    want = sorted(
+        ("long", a[0], b[0], first.get((a[0], b[0]), "NONE"))
+        for a in ents for b in ents if a is not b and (a[1], b[1]) in allowed
+    )
+    assert [p for p in pairs_of(docs) if p[0] == "long"] == want
+
+
+def test_pairs_stay_narrow(spark, lines_file):
+    """Records of ordinary size take part in no shuffle."""
+    docs = load(spark, lines_file(PAIR_RECORDS))
+    plan = entity_pairs(docs, Ontology.default(), split_above=None)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
