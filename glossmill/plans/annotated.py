@@ -189,20 +189,24 @@ def pair_predictions(docs: DataFrame) -> DataFrame:
     )
 
 
-def stub_generator():
-    """A stand-in model: answers with the long words between the quotes of the sentence line."""
-    import json
+def stub_model(min_length: int = ENTITY_LENGTH):
+    """Maker of a stand-in model: it answers with the long words between the quotes of the sentence line.
 
-    names = ["Problem", "Treatment", "Test", "UNKNOWN"]
+    Nested, so that it travels to the workers by value.
+    """
 
-    def generate(prompts: list[str]) -> list[str]:
-        answers = []
-        for prompt in prompts:
+    def make():
+        import json
+
+        names = ["Problem", "Treatment", "Test", "UNKNOWN"]
+
+        def answer(prompt: str) -> str:
             sentence = prompt.split('Sentence: "', 1)[1].rsplit('"', 1)[0]
-            terms = [w for w in sentence.split() if len(w) >= ENTITY_LENGTH]
+            terms = [w for w in sentence.split() if len(w) >= min_length]
             found = [{"id": f"T{k}", "label": names[len(w) % 4], "term": w} for k, w in enumerate(terms)]
             text = json.dumps({"entities": found}, ensure_ascii=False)
-            answers.append(f"```json\n{text}\n```" if len(sentence) % 10 == 0 else text)
-        return answers
+            return f"```json\n{text}\n```" if len(sentence) % 10 == 0 else text
+
+        return lambda prompts: [answer(p) for p in prompts]
 
-    return generate
+    return make

@@ -416,7 +416,7 @@ def resume_pending(spark, sf):
 @query("predict_stub")
 def predict_stub(spark, sf):
     samples = with_prompt(_instructions(spark, sf, "ner"))
-    answers = parse_predictions(predict(samples, A.stub_generator, 16, ["seq"]))
+    answers = parse_predictions(predict(samples, A.stub_model(), 16, ["seq"]))
     return answers.select("seq", "malformed", "stored")
 
 
@@ -434,7 +434,7 @@ def predict_stream_rows(spark, sf):
     """Raw lines written as files and run through the stream once."""
     source, target, state = (scratch_path(spark, f"stream-{n}") for n in ("in", "out", "state"))
     write_jsonl(A.raw_lines(spark, sf), source, DOC_ORDER)
-    run = predict_stream(spark, source, target, state, A.stub_generator, batch_size=16)
+    run = predict_stream(spark, source, target, state, A.stub_model(), batch_size=16)
     run.awaitTermination()
     if run.exception() is not None:
         raise run.exception()

@@ -1,0 +1,166 @@
+"""Scores against plain Python sets."""
+
+import json
+import random
+
+import pytest
+from conftest import record
+from pyspark.sql import functions as F
+
+from glossmill.operators import scoring
+from glossmill.operators.inference import parse_predictions
+from glossmill.operators.render import build_samples
+from glossmill.schemas import ORDER_KEY, PAIR_POS, RECORD_KEY
+from glossmill.sources.jsonl import load_sources
+
+
+def scores(tp, fp, fn, prefix):
+    p = tp / (tp + fp) if tp + fp else 0.0
+    r = tp / (tp + fn) if tp + fn else 0.0
+    f = 2 * p * r / (p + r) if p + r else 0.0
+    return {f"{prefix}_tp": tp, f"{prefix}_fp": fp, f"{prefix}_fn": fn, f"{prefix}_precision": round(p, 4),
+            f"{prefix}_recall": round(r, 4), f"{prefix}_f1": round(f, 4)}
+
+
+def count_sets(pairs, prefix):
+    return scores(sum(len(p & g) for p, g in pairs), sum(len(p - g) for p, g in pairs), sum(len(g - p) for p, g in pairs), prefix)
+
+
+def answers(spark, docs, texts):
+    """Parsed predictions: one text per document id."""
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, raw_text string")
+    return parse_predictions(docs.select(*ORDER_KEY, "doc_id").join(rows, "doc_id"))
+
+
+def entity_set(items):
+    return {(e.get("label"), " ".join((e.get("term") or "").lower().split())) for e in items
+            if e.get("label") and (e.get("term") or "").split()}
+
+
+def relation_set(items):
+    return {(r.get("label"), r.get("subject_id"), r.get("object_id")) for r in items
+            if r.get("label") and r["label"] != "NONE" and r.get("subject_id") and r.get("object_id")}
+
+
+def test_joint_scores(spark, lines_file):
+    rng = random.Random(11)
+    terms, labels = ["Chest  pain", "x-ray", "aspirin", "MRI"], ["Problem", "Test", "Treatment"]
+    records, texts, entity_pairs, relation_pairs = [], {}, [], []
+    for k in range(40):
+        ents = [(f"T{i}", rng.choice(labels), rng.choice(terms), i, i) for i in range(rng.randint(0, 4))]
+        ids = [e[0] for e in ents]
+        rels = [("PIP", rng.choice(ids), rng.choice(ids)) for _ in range(rng.randint(0, 3))] if ids else []
+        records.append(record(f"d{k}", "some words here", ents, rels))
+        said = {
+            "entities": [{"id": "q", "label": rng.choice(labels + [""]), "term": rng.choice([" CHEST pain ", "x-ray", "", "mri", "aspirin"])} for _ in range(rng.randint(0, 4))],
+            "relations": [{"label": rng.choice(["PIP", "NONE", ""]), "subject_id": rng.choice(["T0", "T1", ""]), "object_id": rng.choice(["T0", "T1"])} for _ in range(rng.randint(0, 4))],
+        }
+        if k % 6 == 0:
+            del said["entities"]
+        broken = k % 7 == 0
+        texts[f"d{k}"] = json.dumps(said) + (" oops" if broken else "")
+        said = {} if broken else said
+        entity_pairs.append((entity_set(said.get("entities", [])), entity_set([{"label": e[1], "term": e[2]} for e in ents])))
+        relation_pairs.append((relation_set(said.get("relations", [])), {(r[0], r[1], r[2]) for r in rels}))
+    docs = load_sources(spark, [(lines_file(records), "auto")])
+    preds = answers(spark, docs, texts)
+    want = {**count_sets(entity_pairs, "ner"), **count_sets(relation_pairs, "re")}
+    assert scoring.evaluate(preds, docs, "joint").first().asDict() == want
+    assert scoring.evaluate(preds, docs, "ner_only").first().asDict() == count_sets(entity_pairs, "ner")
+    assert scoring.evaluate(preds, docs, "re_only", "global").first().asDict() == count_sets(relation_pairs, "re")
+    # Missing answers count as empty ones, and are reported.
+    some = preds.filter(F.col("doc_id").isin("d1", "d2", "d3"))
+    part = [p if k in (1, 2, 3) else (set(), p[1]) for k, p in enumerate(entity_pairs)]
+    assert scoring.evaluate(some, docs, "ner_only").first().asDict() == count_sets(part, "ner")
+    sides = {r.side: r.n for r in scoring.unmatched_counts(scoring.align(some.select(*RECORD_KEY), docs.select(*RECORD_KEY))).collect()}
+    assert sides == {"both": 3, "gold_only": 37}
+
+
+def test_nothing_to_score(spark, lines_file):
+    docs = load_sources(spark, [(lines_file([record("a")]), "auto")])
+    assert scoring.evaluate(answers(spark, docs, {"a": "no json"}), docs, "joint").first().asDict() == {**scores(0, 0, 0, "ner"), **scores(0, 0, 0, "re")}
+    assert scoring.evaluate(answers(spark, docs, {}), docs, "joint").first().asDict() == {**scores(0, 0, 0, "ner"), **scores(0, 0, 0, "re")}
+
+
+def test_pairwise_branches(spark):
+    cases = [("A", "A"), ("NONE", "NONE"), ("A", "NONE"), ("A", "B"), ("NONE", "A"), (None, "A"), (None, None)]
+    aligned = spark.createDataFrame(cases, "pred_re string, gold_re string")
+    assert scoring.re_metrics(aligned, pairwise=True).first().asDict() == scores(1, 2, 2, "re")
+
+
+def pair_setup(spark, lines_file, shared):
+    """Records with pair answers; with ``shared`` several records carry one id."""
+    rng = random.Random(23)
+    records = []
+    for k in range(30):
+        ents = [(f"T{i}", rng.choice(["Problem", "Treatment", "Other"]), "w", i, i) for i in range(4)]
+        rels = [(rng.choice(["PIP", "TrAP"]), f"T{rng.randrange(4)}", f"T{rng.randrange(4)}") for _ in range(3)]
+        records.append(record("same" if shared and k < 15 else f"d{k}", "a b c d", ents, rels))
+    docs = load_sources(spark, [(lines_file(records), "auto")]).cache()
+    rows = build_samples(docs, "causal", "re_only", "pairwise").collect()
+    said, preds = {}, []
+    for r in rows:
+        label = rng.choice(["PIP", "TrAP", "NONE", "none"])
+        text = {"none": "not json"}.get(label, json.dumps({"relation": label}))
+        preds.append((r.source_idx, r.file, r.block, r.seq, r.subj_pos, r.obj_pos, r.doc_id, r.subject_id, r.object_id, text))
+        if label in ("PIP", "TrAP"):
+            said.setdefault(r.doc_id, []).append(((r.seq, r.subj_pos, r.obj_pos), (label, r.subject_id, r.object_id)))
+    schema = "source_idx int, file string, block long, seq long, subj_pos int, obj_pos int, doc_id string, subject_id string, object_id string, raw_text string"
+    return docs, parse_predictions(spark.createDataFrame(preds, schema)), said
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_pair_scores_by_document_id(spark, lines_file, shared):
+    docs, preds, said = pair_setup(spark, lines_file, shared)
+    pairs = [({x[1] for x in said.get(d.doc_id, [])}, {tuple(r) for r in d.relations}) for d in docs.collect()]
+    assert scoring.evaluate(preds, docs, "re_only", "pairwise").first().asDict() == count_sets(pairs, "re")
+    # Answers for unknown documents are not looked at.
+    stray = preds.withColumn("doc_id", F.lit("unknown"))
+    assert scoring.evaluate(preds.unionByName(stray), docs, "re_only", "pairwise").first().asDict() == count_sets(pairs, "re")
+
+
+def test_pair_scores_by_record(spark, lines_file):
+    docs, preds, said = pair_setup(spark, lines_file, True)
+    flat = [x for items in said.values() for x in items]
+    pairs = [({r for (seq, *_), r in flat if seq == d.seq}, {tuple(r) for r in d.relations}) for d in docs.collect()]
+    assert scoring.evaluate(preds, docs, "re_only", "pairwise", RECORD_KEY).first().asDict() == count_sets(pairs, "re")
+
+
+def test_regroup(spark, lines_file):
+    docs, preds, said = pair_setup(spark, lines_file, False)
+    rows = scoring.prediction_lines(scoring.regroup_pairs(preds, docs)).collect()
+    assert len(rows) == 30
+    for r in rows:
+        items = [x for _, x in sorted(said.get(r.doc_id, []))]
+        assert json.loads(r.value) == {"relations": [dict(zip(("label", "subject_id", "object_id"), x)) for x in items]}
+
+
+def test_regroup_shared_id_in_chunks(spark, lines_file, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK", 8)
+    docs, preds, said = pair_setup(spark, lines_file, True)
+    order = ["seq", *PAIR_POS]
+    from glossmill.operators.ids import with_dense_id
+
+    rows = scoring.regroup_by_doc_id(with_dense_id(preds, order)).orderBy("doc_id", "chunk").collect()
+    assert all(len(r.relations) <= 8 for r in rows) and len([r for r in rows if r.doc_id == "same"]) > 1
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).extend((x.label, x.subject_id, x.object_id) for x in r.relations)
+    assert got == {d: [x for _, x in sorted(items)] for d, items in said.items()}
+
+
+def test_gold_outside_the_allowed_pairs_is_missed(spark, lines_file):
+    rec = record("a", "x y", [("A", "Test", "x", 0, 0), ("B", "Test", "y", 1, 1)], [("TeRP", "A", "B")])
+    docs = load_sources(spark, [(lines_file([rec]), "auto")])
+    samples = build_samples(docs, "causal", "re_only", "pairwise")
+    assert samples.count() == 0
+    preds = parse_predictions(samples.withColumn("raw_text", F.lit('{"relation": "TeRP"}')))
+    assert scoring.evaluate(preds, docs, "re_only", "pairwise").first().asDict() == scores(0, 0, 1, "re")
+
+
+def test_gold_references(spark, lines_file):
+    rec = record("a", "x y", [("A", "Problem", "x", 0, 0)], [("PIP", "A", "A")])
+    docs = load_sources(spark, [(lines_file([rec]), "auto")])
+    for task, mode in (("joint", "global"), ("ner_only", "global"), ("re_only", "global"), ("re_only", "pairwise")):
+        gold = json.loads(scoring.gold_references(docs, task, mode).first().reference)
+        assert ("entities" in gold, "relations" in gold) == (task != "re_only", task != "ner_only")
