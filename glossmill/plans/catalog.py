@@ -25,7 +25,7 @@ from glossmill.operators.tokens import (
 )
 from glossmill.plans import annotated as A
 from glossmill.schemas import ORDER_KEY, PAIR_POS, RECORD_KEY, SAMPLE_KEY
-from glossmill.session import scratch_path
+from glossmill.session import scratch_path, written
 from glossmill.sources.jsonl import (
     read_jsonl, read_predictions, source_counts, split_malformed, with_order_key, write_jsonl, write_predictions,
 )
@@ -140,7 +140,8 @@ def language_detect(spark, sf):
 
 @query("language_mix")
 def language_mix(spark, sf):
-    hinted = [A.raw_lines(spark, sf, h) for h in ("auto", "en", "vi")]
+    lines = written(A.raw_lines(spark, sf), "lines")
+    hinted = [lines.withColumn("hint", F.lit(h)) for h in ("auto", "en", "vi")]
     rows = clean_text(project_language(parse_lines(reduce(DataFrame.unionByName, hinted))))
     return rows.groupBy("hint", "language").agg(F.count(F.lit(1)).alias("n_docs"))
 
@@ -377,7 +378,7 @@ def padded_batches(spark, sf):
 
 @query("eval_subset")
 def eval_subset(spark, sf):
-    return head_subset(_docs(spark, sf).select(*DOC_ORDER, "doc_id"), 0.2, DOC_ORDER).select("seq", "doc_id")
+    return head_subset(_stored(spark, sf).select(*DOC_ORDER, "doc_id"), 0.2, DOC_ORDER).select("seq", "doc_id")
 
 
 @query("step_budget")
