@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, functions as F
 
 from glossmill.schemas import SAMPLE_KEY, SAMPLE_ORDER
-from glossmill.session import cut_lineage
+from glossmill.session import written
 
 _SLOT_BITS = 33
 # Up to this many rows, finding the last row of a subset by a top-k is cheaper than a sort.
@@ -17,15 +17,15 @@ TOP_K_LIMIT = 10_000
 def with_dense_id(df: DataFrame, order: list[str] | None = None, name: str = "id") -> DataFrame:
     """Add 0..n-1 in ``order``, which must not have ties.
 
-    One range shuffle puts the rows in order over many partitions.  The result is checkpointed, since a
-    second run of the shuffle could draw other range borders, and only the partition sizes (one number
-    per partition) visit the driver.
+    One range shuffle puts the rows in order over many partitions.  The result is written to a table,
+    since a second run of the shuffle could draw other range borders.  Only the partition sizes, one
+    number per partition, visit the driver; the table they come back as is that small too.
     """
     order = order or SAMPLE_ORDER
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    kept = cut_lineage(sorted_rows.withColumn("_slot", F.monotonically_increasing_id()))
+    kept = written(sorted_rows.withColumn("_slot", F.monotonically_increasing_id()), "ordered")
 
     part = F.shiftright("_slot", _SLOT_BITS)
     sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()

@@ -54,7 +54,9 @@ def entity_pairs(
         return _with_objects(_subjects(docs, keep, ontology), keep, ontology)
     size = F.col("n_entities") if "n_entities" in docs.columns else F.size("entities")
     short = _subjects(docs.filter(size <= split_above), keep, ontology)
-    long = _subjects(docs.filter(size > split_above), keep, ontology).repartition(*RECORD_KEY, "subj_pos")
+    # A fixed number of partitions: adaptive coalescing looks at the few subjects, not at their pairs.
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    long = _subjects(docs.filter(size > split_above), keep, ontology).repartition(tasks, *RECORD_KEY, "subj_pos")
     return _with_objects(short, keep, ontology).unionByName(_with_objects(long, keep, ontology))
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossmill.ontology import Ontology
 from glossmill.operators.ids import head_subset, pending
 from glossmill.operators.inference import SAMPLE_INFO, Generator, parse_predictions, predict, with_prompt
 from glossmill.operators.render import Templates, build_samples
 from glossmill.operators.tokens import MAX_LENGTH, Encoder, instruction_tokens, tokenize
-from glossmill.schemas import PREDICTED, SAMPLE_KEY, SAMPLE_ORDER
+from glossmill.schemas import PREDICTED, RECORD_KEY, SAMPLE_KEY, SAMPLE_ORDER
 from glossmill.sources.jsonl import load_sources, read_predictions, require_non_empty, write_predictions
 
 
@@ -60,13 +60,18 @@ def run_inference(
     path: str,
     batch_size: int = 4,
     partitions: int | None = None,
+    slices: int = 1,
 ) -> DataFrame:
     """Generate what is still missing, append it, and return all predictions.
 
-    Run it again after a failure: whatever was committed is skipped by key.
+    Run it again after a failure: whatever was committed is skipped by key.  A job commits as a whole,
+    so a long run is cut into ``slices`` jobs over disjoint records, and a failure costs one of them.
     """
     done = stored_predictions(samples, path)
     left = samples if done is None else pending(samples, done)
-    answers = predict(with_prompt(left), make_generator, batch_size, [*SAMPLE_KEY, *SAMPLE_INFO], partitions)
-    write_predictions(parse_predictions(answers), path)
+    prompts = with_prompt(left)
+    for number in range(slices):
+        part = prompts if slices == 1 else prompts.filter(F.pmod(F.xxhash64(*RECORD_KEY), F.lit(slices)) == number)
+        answers = predict(part, make_generator, batch_size, [*SAMPLE_KEY, *SAMPLE_INFO], partitions)
+        write_predictions(parse_predictions(answers), path)
     return read_predictions(samples.sparkSession, path)

@@ -17,6 +17,8 @@ def build_session(cores: int | str = "*", name: str = "glossmill", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
+        # Arrow batches of long prompts are bounded by bytes, not only by rows.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
         # Do not record a Python stack trace for every column expression.
         "spark.sql.dataFrameQueryContext.enabled": "false",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -55,12 +57,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows once to the reliable checkpoint folder and continue from there."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to a fresh table in the shared folder and read them back.
 

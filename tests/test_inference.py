@@ -61,7 +61,7 @@ def test_resume_equals_full_run(spark, lines_file, tmp_path, first):
     target = str(tmp_path / "out")
     workflow.run_inference(ids.head_subset(samples, first) if first else samples.limit(0), upper_generator, target, 3)
     done = spark.read.parquet(target).count() if first else 0
-    everything = workflow.run_inference(samples, upper_generator, target, 3)
+    everything = workflow.run_inference(samples, upper_generator, target, 3, slices=3)
     assert done == first
     assert sorted(r.doc_id for r in everything.collect()) == sorted(f"d{k}" for k in range(10))
     assert everything.select(*SAMPLE_KEY).distinct().count() == 10

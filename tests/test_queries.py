@@ -56,3 +56,22 @@ def test_long_records_are_found_by_statistics(spark):
     """The branch for long records pushes its size test into the Parquet scan."""
     text = plan(queries()["pair_labels"](spark, str(SMALL)))
     assert "GreaterThan(n_entities,64)" in text
+
+
+def test_long_records_spread_their_pairs(spark):
+    """Half of all pairs belong to one record, yet no task makes most of them."""
+    from pyspark.sql import functions as F
+
+    from glossmill.operators.pairs import entity_pairs
+    from glossmill.schemas import ENTITY
+
+    ents = [(f"T{k}", "Problem", "w", k, k) for k in range(200)]
+    row = lambda n, e: (0, "", 0, n, f"d{n}", ["w"], e, [], len(e))
+    docs = spark.createDataFrame(
+        [row(0, ents)] + [row(n, ents[:9]) for n in range(1, 400)],
+        "source_idx int, file string, block long, seq long, doc_id string, words array<string>, entities array<"
+        + ENTITY.simpleString() + ">, relations array<struct<relation_type:string,subject_id:string,object_id:string>>, n_entities int",
+    )
+    pairs = entity_pairs(docs)
+    per_task = [r["n"] for r in pairs.filter("seq = 0").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == 200 * 199 and len(per_task) > 1 and max(per_task) < 0.6 * sum(per_task)
