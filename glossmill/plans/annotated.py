@@ -50,8 +50,8 @@ def _label(term: Column) -> Column:
 def _annotated(sents: DataFrame) -> DataFrame:
     """Add ``ents`` (id, label, term, i) and ``rels`` (label, s, o)."""
     prefix = F.when(F.col("lang") == "de", "E").otherwise("T")
-    tokens = F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("term")))
-    long_words = F.filter(tokens, lambda t: F.length(t["term"]) >= ENTITY_LENGTH)
+    long_words = F.array_compact(F.transform(
+        "words", lambda w, i: F.when(F.length(w) >= ENTITY_LENGTH, F.struct(i.alias("i"), w.alias("term")))))
     rows = sents.withColumn(
         "ents",
         F.transform(long_words, lambda t, k: F.struct(
