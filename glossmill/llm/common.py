@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from glossmill.session import scratch_path
 
@@ -37,18 +38,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of at most ``size`` rows."""
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
-
-
 def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A filter of exactly 2**bits bits with the slots of all hashes set.
 
@@ -70,3 +59,39 @@ def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
 def in_filter(filter_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes.astype(np.uint64) & np.uint64(filter_bits.size * 8 - 1)
     return (filter_bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def appended(df: DataFrame, results: dict[str, tuple[str, pa.DataType]], of_batches: Callable) -> DataFrame:
+    """The rows of ``df`` with result columns from Python added.
+
+    ``of_batches`` takes an iterator of Arrow batches and yields (batch, {result: values}) for batches with the same
+    columns. All columns pass through; one that has the name of a result is replaced by it.
+    """
+    kept = [c for c in df.columns if c not in results]
+    schema = T.StructType(df.select(*kept).schema.fields + [
+        T.StructField(name, T._parse_datatype_string(kind)) for name, (kind, _) in results.items()
+    ])
+
+    def run(rows):
+        for batch, found in of_batches(rows):
+            arrays = [batch.column(i) for i, c in enumerate(batch.schema.names) if c in kept]
+            arrays += [pa.array(found[name], kind) for name, (_, kind) in results.items()]
+            yield pa.RecordBatch.from_arrays(arrays, [*(c for c in batch.schema.names if c in kept), *results])
+
+    return df.mapInArrow(run, schema)
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def slices(rows: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that their texts have about ``most_bytes`` bytes or are a single one."""
+    for batch in rows:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column(batch, "text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + most_bytes, "right")))
+            yield batch.slice(at, end - at)
+            at = end

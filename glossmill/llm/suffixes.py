@@ -193,3 +193,27 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     value = np.zeros(n, np.int64)
     value[start] = common
     return np.maximum(value[source] - (position - source), 0)
+
+
+def doubled_suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling, for large alphabets: each round sorts only the suffixes that still tie."""
+    n = text.size
+    order = np.argsort(text, kind="stable")
+    slots = np.arange(n)
+    rank = np.empty(n, np.int64)
+    group = text[order]
+    step = 0
+    live = order
+    while True:
+        first = np.concatenate(([True], group[1:] != group[:-1]))
+        rank[live] = slots[np.maximum.accumulate(np.where(first, np.arange(live.size), 0))]
+        tied = ~first | ~np.concatenate((first[1:], [True]))
+        live, slots = live[tied], slots[tied]
+        if not live.size:
+            return order
+        step = max(1, step * 2)
+        behind = np.minimum(live + step, n - 1)
+        key = rank[live] * n + np.where(live + step < n, rank[behind], 0)
+        by = np.argsort(key, kind="stable")
+        live, group = live[by], key[by]
+        order[slots] = live
