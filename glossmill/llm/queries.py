@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from glossmill.llm.fm_index import op1_fm_index_decontamination
+from glossmill.llm.packing import op4_residual_packing
 from glossmill.llm.induced import op9_suffix_array_dedup
 from glossmill.llm.simhash import op5_simhash_variants
 from glossmill.llm.superkmers import op8_superkmer_dedup
 
 QUERIES = {f.__name__: f for f in (
-    op1_fm_index_decontamination, op5_simhash_variants, op8_superkmer_dedup, op9_suffix_array_dedup,
+    op1_fm_index_decontamination, op4_residual_packing, op5_simhash_variants, op8_superkmer_dedup, op9_suffix_array_dedup,
 )}
 
 SQL: dict[str, str] = {}
