@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from glossmill.llm.byte_cnn import op2_byte_cnn_quality
 from glossmill.llm.fm_index import op1_fm_index_decontamination
-from glossmill.llm.packing import op4_residual_packing
 from glossmill.llm.induced import op9_suffix_array_dedup
+from glossmill.llm.language_codes import op10_output_codes_language
+from glossmill.llm.outlier_rules import op6_mcd_quality_rules
+from glossmill.llm.packing import op4_residual_packing
 from glossmill.llm.simhash import op5_simhash_variants
 from glossmill.llm.superkmers import op8_superkmer_dedup
+from glossmill.llm.token_rollups import op7_token_rollups
+from glossmill.llm.wrapper_pages import op3_wrapper_main_text
 
 QUERIES = {f.__name__: f for f in (
-    op1_fm_index_decontamination, op4_residual_packing, op5_simhash_variants, op8_superkmer_dedup, op9_suffix_array_dedup,
+    op1_fm_index_decontamination, op2_byte_cnn_quality, op3_wrapper_main_text, op4_residual_packing,
+    op5_simhash_variants, op6_mcd_quality_rules, op7_token_rollups, op8_superkmer_dedup, op9_suffix_array_dedup,
+    op10_output_codes_language,
 )}
 
 SQL: dict[str, str] = {}
