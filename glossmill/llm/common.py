@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from glossmill.session import scratch_path
 
@@ -32,10 +32,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     The key needs no numbering pass and is the same in every scan, so a retried task agrees with its peers. Rows
     that repeat a document in full share the key; all results are functions of the text, so they share those too.
     """
-    return docs.select(
-        F.col("doc_id"), F.col("text"),
-        F.xxhash64("doc_id", "text").alias(KEYS[0]), F.hash("text", "doc_id").alias(KEYS[1]),
-    )
+    return with_keys(docs.select("doc_id", "text"))
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """All columns and the key."""
+    return docs.withColumns({KEYS[0]: F.xxhash64("doc_id", "text"), KEYS[1]: F.hash("text", "doc_id")})
 
 
 def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -61,13 +63,13 @@ def in_filter(filter_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (filter_bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def appended(df: DataFrame, results: dict[str, tuple[str, pa.DataType]], of_batches: Callable) -> DataFrame:
+def appended(df: DataFrame, results: dict[str, tuple[str, pa.DataType]], of_batches: Callable, drop: tuple = ()) -> DataFrame:
     """The rows of ``df`` with result columns from Python added.
 
     ``of_batches`` takes an iterator of Arrow batches and yields (batch, {result: values}) for batches with the same
-    columns. All columns pass through; one that has the name of a result is replaced by it.
+    columns. All columns but those to ``drop`` pass through; one that has the name of a result is replaced by it.
     """
-    kept = [c for c in df.columns if c not in results]
+    kept = [c for c in df.columns if c not in results and c not in drop]
     schema = T.StructType(df.select(*kept).schema.fields + [
         T.StructField(name, T._parse_datatype_string(kind)) for name, (kind, _) in results.items()
     ])
@@ -81,6 +83,18 @@ def appended(df: DataFrame, results: dict[str, tuple[str, pa.DataType]], of_batc
     return df.mapInArrow(run, schema)
 
 
+def set_aside(docs: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with columns of taken names renamed, and the selection that gives back the columns as they were."""
+    other = {c: f"own column {c}" for c in docs.columns if c in set(taken)}
+    return docs.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with another text; where there was none, there still is none. n_chars, if there, follows."""
+    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), text))
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

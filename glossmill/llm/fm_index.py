@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossmill.llm.common import KEYS, appended, column, keyed, slices, table
+from glossmill.llm.common import KEYS, appended, column, keyed, slices, table, with_keys
 from glossmill.llm.suffixes import doubled_suffix_array
 
 WINDOW = 10
@@ -270,8 +270,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     hits = hits.groupBy(*KEYS).agg(
         F.flatten(F.collect_list("spans")).alias("all_spans"), F.flatten(F.collect_list("items")).alias("all_items")
     )
-    own = docs.withColumns({KEYS[0]: F.xxhash64("doc_id", "text"), KEYS[1]: F.hash("text", "doc_id")})
-    joined = own.join(hits.hint("shuffle_hash"), KEYS, "left")
+    joined = with_keys(docs).join(hits.hint("shuffle_hash"), KEYS, "left")
 
     def merge(rows):
         for batch in slices(rows, shard_bytes):

@@ -5,7 +5,7 @@ the suffix array comes from induced sorting and the permuted common prefixes fro
 window is repeated if it shares its whole length with a neighbour in the array.
 
 Null text: empty. Texts shorter than a window are kept whole. Rows that repeat a document are copies of it, and all
-lose what they share. Empty tables give empty results. Columns other than doc_id and text are ignored.
+lose what they share. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm.common import keyed, table
+from glossmill.llm.common import appended, column, keyed, table
 from glossmill.llm.suffixes import permuted_prefixes, suffix_array
 from glossmill.llm.windows import Units, merged, mixed, repeated_stretches, with_stretches
 
@@ -57,17 +57,24 @@ def repeated_byte_stretches(docs: DataFrame, window: int = WINDOW, gram: int = G
     return repeated_stretches(docs, BYTES, window, gram, filter_bits, crowd, shard_bytes)
 
 
-def suffix_dedup(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (as text; a code point cut in two is left out)."""
-    rows = keyed(docs)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+RESULTS = {
+    "n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()),
+    "kept_sha256": ("string", pa.string()),
+}
+KEPT = {"kept": ("string", pa.string())}
+
+
+def suffix_dedup(docs: DataFrame, with_kept: bool = False, drop: tuple = (), **parameters) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the remaining bytes as text.
+
+    A code point of which a part is removed is not in the text; the digest is of the bytes as they are.
+    """
 
     def cut(rows):
         for batch in rows:
             out = []
-            for doc_id, text, stretches in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = (text or "").encode()
+            for value, stretches in zip(column(batch, "text").cast(pa.binary()), column(batch, "stretches").to_pylist()):
+                data = value.as_py() or b""
                 spans = merged(stretches)
                 kept, at = [], 0
                 for a, b in spans:
@@ -75,13 +82,13 @@ def suffix_dedup(docs: DataFrame, **parameters) -> DataFrame:
                     at = b
                 kept.append(data[at:])
                 left = b"".join(kept)
-                out.append((doc_id, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(),
-                            left.decode(errors="ignore")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, kinds)], names)
+                out.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(),
+                            left.decode(errors="ignore") if with_kept else None))
+            yield batch, {name: [r[i] for r in out] for i, name in enumerate((*RESULTS, *KEPT))}
 
-    found = with_stretches(rows, repeated_byte_stretches(rows, **parameters))
-    return found.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    found = with_stretches(docs, repeated_byte_stretches(keyed(docs), **parameters))
+    return appended(found, {**RESULTS, **(KEPT if with_kept else {})}, cut, drop=("stretches", *drop))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossmill.llm.common import KEYS, appended, column, keyed, stored, table
+from glossmill.llm.common import KEYS, appended, column, keyed, stored, table, with_keys
 from glossmill.llm.components import components
 
 SHINGLE = 3
@@ -185,8 +185,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     """
     groups = near_duplicates(docs, shingle, distance, crowd)
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEYS)).alias("w"))
-    own = docs.withColumns({KEYS[0]: F.xxhash64("doc_id", "text"), KEYS[1]: F.hash("text", "doc_id")})
-    kept = own.join(best.select(*(F.col(f"w.{k}") for k in KEYS)), KEYS, "left_semi")
+    kept = with_keys(docs).join(best.select(*(F.col(f"w.{k}") for k in KEYS)), KEYS, "left_semi")
     nth = F.expr(f"row_number() over (partition by {', '.join(KEYS)} order by {KEYS[0]})")
     return kept.withColumn("row_nth", nth).filter("row_nth = 1").select(*docs.columns)
 

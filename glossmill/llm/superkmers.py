@@ -4,7 +4,7 @@ Windows of consecutive words that share a minimiser travel as one packed string
 where sorting finds the windows that occur more than once. A word is removed if such a window covers it.
 
 Null text: no words. Fewer words than a window: nothing is removed. Rows that repeat a document count as copies of
-it, so both lose what they share. Empty tables give empty results. Columns other than doc_id and text are ignored.
+it, so both lose what they share. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm.common import keyed, table
+from glossmill.llm.common import appended, column, keyed, table
 from glossmill.llm.windows import Units, merged, repeated_stretches, with_stretches
 
 WINDOW = 35
@@ -74,30 +74,32 @@ def repeated_word_stretches(docs: DataFrame, window: int = WINDOW, gram: int = G
     return repeated_stretches(docs, WORDS, window, gram, filter_bits, crowd, shard_bytes)
 
 
-def substring_dedup(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the remaining words, joined by one space), kept_sha256."""
-    rows = keyed(docs)
+RESULTS = {
+    "n_words": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "kept_sha256": ("string", pa.string()),
+}
+KEPT = {"kept": ("string", pa.string())}
+
+
+def substring_dedup(docs: DataFrame, with_kept: bool = False, drop: tuple = (), **parameters) -> DataFrame:
+    """docs with n_words, n_removed, kept_sha256 and, if asked for, kept: the remaining words joined by one space."""
 
     def cut(rows):
         for batch in rows:
             out = []
-            for doc_id, text, stretches in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = (text or "").encode().split()
+            for value, stretches in zip(column(batch, "text").cast(pa.binary()), column(batch, "stretches").to_pylist()):
+                words = (value.as_py() or b"").split()
                 kept, at = [], 0
                 for a, b in merged(stretches):
                     kept += words[at:a]
                     at = b
                 kept += words[at:]
                 joined = b" ".join(kept)
-                out.append((doc_id, len(words), len(words) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)],
-                ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_kept else None))
+            yield batch, {name: [r[i] for r in out] for i, name in enumerate((*RESULTS, *KEPT))}
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    found = with_stretches(rows, repeated_word_stretches(rows, **parameters))
-    return found.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    found = with_stretches(docs, repeated_word_stretches(keyed(docs), **parameters))
+    return appended(found, {**RESULTS, **(KEPT if with_kept else {})}, cut, drop=("stretches", *drop))
 
 
 def op8_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glossmill.llm.common import KEYS, bit_filter, in_filter, keyed, stored
+from glossmill.llm.common import KEYS, bit_filter, in_filter, stored, with_keys
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 PLACE = (1 << 20) - 1  # low bits of a gram's hash that give way to its place
@@ -225,11 +225,11 @@ def _sorted_buckets(runs: DataFrame, units: Units, window: int, shard_bytes: int
 
 
 def with_stretches(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """doc_id, text and the (possibly null) stretches of each row of ``keyed`` documents.
+    """docs, of any columns, with the stretches (null: none) of each row.
 
     The stretches are the hashed side, a small share of a partition; the texts are not sorted.
     """
-    return docs.join(stretches.hint("shuffle_hash"), KEYS, "left").select("doc_id", "text", "stretches")
+    return with_keys(docs).join(stretches.hint("shuffle_hash"), KEYS, "left").drop(*KEYS)
 
 
 def merged(stretches: list[dict] | None) -> list[tuple[int, int]]:
@@ -242,5 +242,3 @@ def merged(stretches: list[dict] | None) -> list[tuple[int, int]]:
             out.append((a, b))
     return out
 
-
-__all__ = ["Units", "keyed", "merged", "repeated_stretches", "with_stretches"]
