@@ -139,7 +139,9 @@ def fitted_in_task(sample: DataFrame, columns: list[str], fit_rows: Callable) ->
         rows = sorted(tuple(r[c] for c in columns) for batch in batches for r in batch.to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(rows))], pa.binary())], ["model"])
 
-    return pickle.loads(sample.select(*columns).repartition(1).mapInArrow(run, "model binary").first()[0])
+    # Of a sample known to be empty, Spark runs no task.
+    model = sample.select(*columns).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(model[0]) if model else fit_rows([])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 800, longest: int = 1 << 15) -> DataFrame:

@@ -270,7 +270,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     hits = hits.groupBy(*KEYS).agg(
         F.flatten(F.collect_list("spans")).alias("all_spans"), F.flatten(F.collect_list("items")).alias("all_items")
     )
-    joined = with_keys(docs).join(hits.hint("shuffle_hash"), KEYS, "left")
+    joined = with_keys(docs.drop("all_spans", "all_items")).join(hits.hint("shuffle_hash"), KEYS, "left")
 
     def merge(rows):
         for batch in slices(rows, shard_bytes):

@@ -229,7 +229,7 @@ def with_stretches(docs: DataFrame, stretches: DataFrame) -> DataFrame:
 
     The stretches are the hashed side, a small share of a partition; the texts are not sorted.
     """
-    return with_keys(docs).join(stretches.hint("shuffle_hash"), KEYS, "left").drop(*KEYS)
+    return with_keys(docs.drop("stretches")).join(stretches.hint("shuffle_hash"), KEYS, "left").drop(*KEYS)
 
 
 def merged(stretches: list[dict] | None) -> list[tuple[int, int]]:
