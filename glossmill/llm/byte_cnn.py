@@ -87,7 +87,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 16,
         np.zeros(FILTERS, np.float32), rng.normal(0, FILTERS ** -0.5, FILTERS).astype(np.float32), 0.0)
     y = np.array(labels, np.float32)
     share = float(y.mean()) if y.size else 0.5
-    if not 0 < share < 1:
+    if not y.size or not 0 < share < 1:
         net.weights[:] = 0
         net.offset = (share - 0.5) * 100
         return net
