@@ -10,21 +10,20 @@ from glossmill.schemas import SAMPLE_KEY, SAMPLE_ORDER
 from glossmill.session import written
 
 _SLOT_BITS = 33
-# Up to this many rows, finding the last row of a subset by a top-k is cheaper than a sort.
-TOP_K_LIMIT = 10_000
 
 
 def with_dense_id(df: DataFrame, order: list[str] | None = None, name: str = "id") -> DataFrame:
     """Add 0..n-1 in ``order``, which must not have ties.
 
-    One range shuffle puts the rows in order over many partitions.  The result is written to a table,
+    The rows are written first: a range shuffle reads its input twice, once to draw the borders, and must not
+    compute it twice.  The shuffle puts them in order over many partitions.  The result is written to a table,
     since a second run of the shuffle could draw other range borders.  Only the partition sizes, one
     number per partition, visit the driver; the table they come back as is that small too.
     """
     order = order or SAMPLE_ORDER
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    sorted_rows = written(df, "rows").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     kept = written(sorted_rows.withColumn("_slot", F.monotonically_increasing_id()), "ordered")
 
     part = F.shiftright("_slot", _SLOT_BITS)
@@ -77,10 +76,7 @@ def head_subset(df: DataFrame, size: int | float | None, order: list[str] | None
     if k == n:
         return df
     keys = df.select(*order)
-    if k <= TOP_K_LIMIT:
-        last = keys.orderBy(*order).limit(k).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
-    else:
-        last = with_dense_id(keys, order, "_rank").filter(F.col("_rank") == k - 1).first()
+    last = with_dense_id(keys, order, "_rank").filter(F.col("_rank") == k - 1).first()
     limit = {c: F.lit(last[c]).cast(keys.schema[c].dataType) for c in order}
     lead = order[0]
     return df.filter(

@@ -10,54 +10,43 @@ from glossmill.functions.spans import insert_markers
 from glossmill.ontology import NO_RELATION, Ontology
 from glossmill.schemas import ORDER_KEY, RECORD_KEY
 
-# Records with more entities than this have their pairs made by many tasks instead of one.
-SPLIT_ABOVE = 64
-
 
 def _allowed(subject: Column, obj: Column, ontology: Ontology) -> Column:
     tests = [(subject == s) & obj.isin(objs) for s, objs in ontology.objects_by_subject().items()]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def _subjects(docs: DataFrame, keep: list[str], ontology: Ontology | None) -> DataFrame:
-    """One row per possible subject, with only the relations that start at it."""
-    rows = docs.select(*keep, "entities", "relations", F.posexplode("entities").alias("subj_pos", "subject"))
-    if ontology is not None:
-        rows = rows.filter(F.col("subject.label").isin(list(ontology.objects_by_subject())))
-    own = F.filter("relations", lambda r: r["subject_id"] == F.col("subject.entity_id"))
-    return rows.select(*keep, "entities", "subj_pos", "subject", own.alias("subject_relations"))
-
-
-def _with_objects(subjects: DataFrame, keep: list[str], ontology: Ontology | None) -> DataFrame:
-    rows = subjects.select(
-        *keep, "subj_pos", "subject", "subject_relations", F.posexplode("entities").alias("obj_pos", "object")
-    ).filter(F.col("obj_pos") != F.col("subj_pos"))
-    if ontology is not None:
-        rows = rows.filter(_allowed(F.col("subject.label"), F.col("object.label"), ontology))
-    return rows
-
-
 def entity_pairs(
     docs: DataFrame,
     ontology: Ontology | None = None,
     keep: list[str] | None = None,
-    split_above: int | None = SPLIT_ABOVE,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Ordered pairs of different entities of a record; with an ontology only the allowed label pairs.
 
-    Pairs stream out of two generators on the record's own row, so nothing is shuffled.  Records with
-    more than ``split_above`` entities are sent out subject by subject first, so that one long record
-    does not keep one task busy with most of the output.
+    Pairs stream out of two generators on the record's own row, so nothing is shuffled.  The objects a subject may
+    have are picked inside the array, so no pair is made to be dropped.  ``tasks`` sends the subjects, each with its
+    objects, out over that many tasks, for input whose records are few and long.
     """
     keep = keep or [*ORDER_KEY, "doc_id", "words"]
-    if split_above is None:
-        return _with_objects(_subjects(docs, keep, ontology), keep, ontology)
-    size = F.col("n_entities") if "n_entities" in docs.columns else F.size("entities")
-    short = _subjects(docs.filter(size <= split_above), keep, ontology)
-    # A fixed number of partitions: adaptive coalescing looks at the few subjects, not at their pairs.
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
-    long = _subjects(docs.filter(size > split_above), keep, ontology).repartition(tasks, *RECORD_KEY, "subj_pos")
-    return _with_objects(short, keep, ontology).unionByName(_with_objects(long, keep, ontology))
+    placed = F.transform("entities", lambda e, i: F.struct(i.alias("pos"), e.alias("entity")))
+    subjects = placed
+    if ontology is not None:
+        starts = list(ontology.objects_by_subject())
+        subjects = F.filter(placed, lambda s: s["entity"]["label"].isin(starts))
+    own = F.filter("relations", lambda r: r["subject_id"] == F.col("_subject.entity.entity_id"))
+
+    def fits(o: Column) -> Column:
+        other = o["pos"] != F.col("_subject.pos")
+        return other if ontology is None else other & _allowed(F.col("_subject.entity.label"), o["entity"]["label"], ontology)
+
+    rows = docs.select(*keep, "entities", "relations", F.explode(subjects).alias("_subject")).select(
+        *keep, "_subject", own.alias("subject_relations"), F.filter(placed, fits).alias("_objects"))
+    if tasks:
+        rows = rows.repartition(tasks, *RECORD_KEY, "_subject.pos")
+    return rows.select(*keep, "_subject", "subject_relations", F.explode("_objects").alias("_object")).select(
+        *keep, F.col("_subject.pos").alias("subj_pos"), F.col("_subject.entity").alias("subject"), "subject_relations",
+        F.col("_object.pos").alias("obj_pos"), F.col("_object.entity").alias("object"))
 
 
 def label_pairs(pairs: DataFrame) -> DataFrame:

@@ -12,9 +12,6 @@ from glossmill.ontology import NO_RELATION
 from glossmill.operators.render import gold_json, variant
 from glossmill.schemas import PAIR_POS, RECORD_KEY
 
-# How many relations of a shared document id go into one row.
-CHUNK = 1024
-
 
 def gold_references(docs: DataFrame, task: str, re_mode: str = "global") -> DataFrame:
     """Gold answer of every document, in the shape predictions are scored in."""
@@ -110,16 +107,15 @@ def regroup_pairs(preds: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(lists, RECORD_KEY, "left").withColumn("predicted", F.coalesce(found, empty)).drop("_items")
 
 
-def regroup_by_doc_id(preds: DataFrame) -> DataFrame:
-    """Predicted relations of a document id in sample order, cut into rows of bounded length.
+def relations_by_doc_id(preds: DataFrame, docs: DataFrame) -> DataFrame:
+    """Predicted relations under their document id, one row each with its sample ``id``.
 
-    Records that share an id share this list.  It is stored once per id, not once per record, and in
-    chunks, so an id with any number of records stays manageable.
+    Records that share an id share these rows, and such an id may be very frequent, so no list is made of them.  An
+    id without any relation has one row without a relation.
     """
-    rows = predicted_relations(preds, "id", "doc_id")
-    item = F.struct("id", "label", "subject_id", "object_id")
-    chunk = F.floor(F.col("id") / CHUNK).cast("bigint")
-    return rows.groupBy("doc_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(item)).alias("relations"))
+    rows = predicted_relations(preds, "id", "doc_id").select("doc_id", "id", "label", "subject_id", "object_id")
+    empty = docs.select("doc_id").distinct().join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
+    return rows.unionByName(empty, allowMissingColumns=True)
 
 
 def prediction_lines(grouped: DataFrame) -> DataFrame:
@@ -161,6 +157,17 @@ def shared_id_metrics(preds: DataFrame, docs: DataFrame) -> DataFrame:
     return _finish(totals, "re")
 
 
+def record_pair_metrics(preds: DataFrame, docs: DataFrame) -> DataFrame:
+    """Relation scores when every record has only its own answers: one grouping by record, then sets in the row."""
+    said = predicted_relations(preds, *RECORD_KEY).filter(
+        (F.col("label") != "") & (F.coalesce("subject_id", F.lit("")) != "") & (F.coalesce("object_id", F.lit("")) != ""))
+    sets = said.groupBy(*RECORD_KEY).agg(
+        F.collect_set(relation_key(F.col("label"), F.col("subject_id"), F.col("object_id"))).alias("pred_re"))
+    gold = docs.select(*RECORD_KEY, re_set(F.col("relations"), "relation_type").alias("gold_re"))
+    aligned = gold.join(sets, RECORD_KEY, "left")
+    return _finish(aligned.agg(*set_counts(aligned, "pred_re", "gold_re", "re")), "re")
+
+
 # ---- end to end -------------------------------------------------------------------------------
 
 def with_prediction_sets(preds: DataFrame) -> DataFrame:
@@ -186,6 +193,8 @@ def evaluate(preds: DataFrame, docs: DataFrame, task: str, re_mode: str = "globa
     if kind == "pair":
         if key is None or list(key) == ["doc_id"]:
             return shared_id_metrics(preds, docs)
+        if list(key) == RECORD_KEY:
+            return record_pair_metrics(preds, docs)
         together = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in key])
         return shared_id_metrics(preds.withColumn("doc_id", together), docs.withColumn("doc_id", together))
     key = key or RECORD_KEY

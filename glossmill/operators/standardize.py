@@ -13,13 +13,23 @@ UNKNOWN_LABEL = "UNKNOWN"
 NO_INDEX = -1
 
 
+def without_empty_ends(value: Column) -> Column:
+    """A relation end that is a number zero, false, or an empty list or object counts as not given.
+
+    As text it could not be told from the string "0".  Inside a JSON string the quotes of a key are escaped, so only
+    keys are found.
+    """
+    nothing = r'"(subject_id|object_id)"(\s*:\s*)(?:-?0(?:\.0*)?(?:[eE][+-]?\d+)?|false|\[\s*\]|\{\s*\})(?=\s*[,}])'
+    return F.regexp_replace(value, nothing, '"$1"$2null')
+
+
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Add ``record``; lines that are not one JSON object yield no row.
 
     The parse sits in a generator so that later filters cannot be pushed below it, where they would
     parse every line a second time.
     """
-    record = strict_object(F.col(value), RAW_RECORD)
+    record = strict_object(without_empty_ends(F.col(value)), RAW_RECORD)
     kept = F.filter(F.array(record), lambda r: r.isNotNull())
     return lines.select("*", F.explode(kept).alias("record"))
 
@@ -91,19 +101,26 @@ def parse_relations(relations: Column, entities: Column) -> Column:
             F.coalesce(F.nullif(raw["object_id"], F.lit("")), raw["tail_idx"]).alias("object_id"),
         )
 
-    ids = F.transform(entities, lambda e: e["entity_id"])
+    triples = F.transform(relations, triple)
+    ends = F.concat(F.transform(triples, lambda r: r["subject_id"]), F.transform(triples, lambda r: r["object_id"]))
+    # Hashed once per record; what is left is usually nothing.
+    unknown = F.array_except(ends, F.transform(entities, lambda e: e["entity_id"]))
 
-    def anchored(rel: Column) -> Column:
-        return F.array_contains(ids, rel["subject_id"]) & F.array_contains(ids, rel["object_id"])
+    def anchored(rel: Column, nowhere: Column) -> Column:
+        known = lambda end: end.isNotNull() & ~F.coalesce(F.array_contains(nowhere, end), F.lit(False))
+        return known(rel["subject_id"]) & known(rel["object_id"])
 
+    # A list of one holds the unknown ids, so that they are searched for once.
+    kept = F.flatten(F.transform(F.array(unknown), lambda nowhere: F.filter(triples, lambda r: anchored(r, nowhere))))
     empty = F.array().cast("array<struct<relation_type:string,subject_id:string,object_id:string>>")
-    return F.coalesce(F.filter(F.transform(relations, triple), anchored), empty)
+    return F.coalesce(kept, empty)
 
 
-def standardize(lines: DataFrame) -> DataFrame:
+def standardize(lines: DataFrame, **more: Column) -> DataFrame:
     """Documents with a stable key: text, words, entity spans and relations of one language.
 
-    ``n_entities`` lets a later Parquet scan skip row groups without long records.
+    ``n_entities`` lets a later Parquet scan skip row groups by size; ``more`` are further columns made from the
+    parsed ``record``.
     """
     docs = clean_text(project_language(parse_lines(lines)))
     record = F.col("record")
@@ -115,6 +132,7 @@ def standardize(lines: DataFrame) -> DataFrame:
             F.coalesce(record["id"], F.lit("")).alias("doc_id"),
             "text", words(F.col("text")).alias("words"), "entities", "relations", "language",
             F.coalesce(F.size(record["entities"]), F.lit(0)).alias("n_entities"),
+            *(value.alias(name) for name, value in more.items()),
         )
     )
 

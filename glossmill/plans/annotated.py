@@ -19,7 +19,8 @@ from glossmill.schemas import ORDER_KEY, PAIR_POS
 from glossmill.session import computed_once, spread, written
 
 ENTITY_LENGTH = 10
-SENTENCES_PER_DOC = 100_000
+# More lines than a string can hold, so the keys of two documents never meet.
+SENTENCES_PER_DOC = 1 << 31
 SENTENCE_END = r"([.!?])\s+"
 TREATMENT_RELATIONS = ["TrIP", "TrWP", "TrCP", "TrAP", "TrNAP"]
 TEST_RELATIONS = ["TeRP", "TeCP"]

@@ -36,9 +36,7 @@ QUERIES: dict[str, Query] = {}
 
 SHARDS = 7
 BATCH = 16
-MAX_LEN = 64
 DOC_ORDER = ["source_idx", "seq"]
-RE_COLUMNS = ["re_tp", "re_fp", "re_fn", "re_precision", "re_recall", "re_f1"]
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -177,10 +175,9 @@ def relations(spark, sf):
 
 @query("relations_integrity")
 def relations_integrity(spark, sf):
-    """Raw against kept relations per document."""
-    raw = parse_lines(A.raw_lines(spark, sf)).select("seq", F.size("record.relations").alias("n_raw"))
-    kept = _docs(spark, sf).select("seq", F.size("relations").alias("n_kept"))
-    return raw.join(kept, "seq").filter(F.col("n_raw") > 0)
+    """Raw against kept relations of each document, side by side in its row."""
+    rows = standardize(A.raw_lines(spark, sf), n_raw=F.coalesce(F.size("record.relations"), F.lit(0)))
+    return rows.select("seq", "n_raw", F.size("relations").alias("n_kept")).filter(F.col("n_raw") > 0)
 
 
 @query("documents_std")
@@ -225,11 +222,6 @@ def _pair_columns(*more):
             F.col("object.entity_id").alias("object_id"), *more]
 
 
-@query("entity_pairs")
-def all_entity_pairs(spark, sf):
-    return entity_pairs(_stored(spark, sf)).select(*_pair_columns())
-
-
 @query("valid_pairs")
 def valid_pairs(spark, sf):
     rows = entity_pairs(_stored(spark, sf), Ontology.default())
@@ -243,7 +235,9 @@ def pair_labels(spark, sf):
 
 @query("entity_markers")
 def entity_markers(spark, sf):
-    return mark_pairs(entity_pairs(_stored(spark, sf), Ontology.default())).select("seq", "subj_pos", "obj_pos", "marked")
+    """The subjects are sent out over many tasks first, as for few and long records."""
+    pairs = entity_pairs(_stored(spark, sf), Ontology.default(), tasks=64)
+    return mark_pairs(pairs).select("seq", "subj_pos", "obj_pos", "marked")
 
 
 # ---- rendering --------------------------------------------------------------------------------
@@ -350,7 +344,7 @@ def token_length_rows(spark, sf):
 @query("tokenized")
 def tokenized(spark, sf):
     """Ids and mask of every sentence; the lengths are what another engine can check."""
-    rows = tokenize(A.sentences(spark, sf).select("seq", "sentence"), "sentence", MAX_LEN, keep=["seq"])
+    rows = tokenize(A.sentences(spark, sf).select("seq", "sentence"), "sentence", keep=["seq"])
     return rows.select("seq", F.size("input_ids").alias("n_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
 
 
@@ -361,14 +355,14 @@ def prompt_lengths(spark, sf):
 
 @query("loss_mask")
 def loss_mask(spark, sf):
-    rows = instruction_tokens(_instructions(spark, sf), ["seq"], max_len=256)
+    rows = instruction_tokens(_instructions(spark, sf), ["seq"])
     masked = F.size(F.filter("labels", lambda x: x == -100))
     return rows.select("seq", "prompt_length", masked.alias("n_masked"), (F.size("labels") - masked).alias("n_kept"))
 
 
 @query("pad_batches")
 def padded_batches(spark, sf):
-    rows = tokenize(A.sentences(spark, sf).select("seq", "sentence"), "sentence", MAX_LEN, keep=["seq"])
+    rows = tokenize(A.sentences(spark, sf).select("seq", "sentence"), "sentence", keep=["seq"])
     padded = pad_batches(rows, BATCH, order=["seq"])
     return padded.select(
         "id", "seq", "batch", "width", F.size("input_ids").alias("n_ids"),
@@ -454,11 +448,11 @@ def regroup_pairs(spark, sf):
 @query("regroup_shared_id")
 def regroup_shared_id(spark, sf):
     """Answers of all sentences of a document gathered under the document's id."""
-    preds = A.pair_predictions(_stored(spark, sf)).withColumn("doc_id", F.split_part("doc_id", F.lit("-"), F.lit(1)))
+    by_document = F.split_part("doc_id", F.lit("-"), F.lit(1))
+    docs = _stored(spark, sf)
+    preds = A.pair_predictions(docs).withColumn("doc_id", by_document)
     numbered = with_dense_id(preds.select("seq", *PAIR_POS, "doc_id", "subject_id", "object_id", "prediction"), ["seq", *PAIR_POS])
-    lists = scoring.regroup_by_doc_id(numbered)
-    shown = F.transform("relations", lambda r: F.concat_ws(":", r["id"], r["label"], r["subject_id"], r["object_id"]))
-    return lists.select("doc_id", "chunk", F.array_join(shown, ",").alias("relations"))
+    return scoring.relations_by_doc_id(numbered, docs.select(by_document.alias("doc_id")))
 
 
 @query("align_predictions")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def build_session(cores: int | str = "*", name: str = "glossmill", **conf: str) -> SparkSession:
     """A local session with the settings the operators are tuned for; a cluster passes its own."""
     settings = {
-        "spark.sql.shuffle.partitions": "8" if cores == "*" else str(cores),
+        "spark.sql.shuffle.partitions": str(os.cpu_count() if cores == "*" else cores),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -78,6 +79,5 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition on ``keys`` when the scan has fewer partitions than cores; otherwise leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Hash-partition on ``keys`` over the session's number of shuffle partitions, whatever the scan had."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -6,13 +6,13 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossmill.functions.jsontext import strict_object
 from glossmill.functions.text import strip
 from glossmill.operators.standardize import standardize
 from glossmill.schemas import LANGUAGE_HINTS, LINE, ORDER_KEY, RAW_RECORD
-from glossmill.session import computed_once
+from glossmill.session import computed_once, written
 
 
 def check_hint(hint: str) -> str:
@@ -21,6 +21,13 @@ def check_hint(hint: str) -> str:
     return hint
 
 
+def numbered_name(path: Column) -> Column:
+    """The path with its part number filled up to ten digits: Spark writes five, and more than 100,000 files have more."""
+    number = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1)
+    return F.when(number == "", path).otherwise(
+        F.regexp_replace(path, F.lit(r"part-\d+([^/]*)$"), F.concat(F.lit("part-"), F.lpad(number, 10, "0"), F.lit("$1"))))
+
+
 def with_order_key(lines: DataFrame, source_idx: int) -> DataFrame:
     """Add the position of every line: source, file, file split, line within the scan.
 
@@ -29,7 +36,7 @@ def with_order_key(lines: DataFrame, source_idx: int) -> DataFrame:
     """
     return lines.select(
         F.lit(source_idx).alias("source_idx"),
-        F.col("_metadata.file_path").alias("file"),
+        numbered_name(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         "value",
@@ -127,6 +134,10 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, value: str = "value") -> None:
-    """One line per row; the part files, read by name, hold the rows in ``order``."""
+    """One line per row; the part files, in the order of their numbers, hold the rows in ``order``.
+
+    The rows are written first, since the sort reads its input twice.
+    """
     keys = order or ORDER_KEY
-    df.orderBy(*keys).select(F.col(value).alias("value")).write.text(path)
+    rows = written(df.select(*keys, F.col(value).alias("_line")), "lines")
+    rows.orderBy(*keys).select(F.col("_line").alias("value")).write.text(path)

@@ -143,10 +143,10 @@ PAIRS = sorted([
 ])
 
 
-@pytest.mark.parametrize("split_above", [None, 0, 1, 2, 64])
-def test_pairs(spark, lines_file, split_above):
+@pytest.mark.parametrize("tasks", [None, 1, 7])
+def test_pairs(spark, lines_file, tasks):
     docs = load(spark, lines_file(PAIR_RECORDS))
-    assert pairs_of(docs, split_above=split_above) == PAIRS
+    assert pairs_of(docs, tasks=tasks) == PAIRS
 
 
 def test_all_pairs_match_brute_force(spark, lines_file):
@@ -170,5 +170,5 @@ def test_all_pairs_match_brute_force(spark, lines_file):
 def test_pairs_stay_narrow(spark, lines_file):
     """Records of ordinary size take part in no shuffle."""
     docs = load(spark, lines_file(PAIR_RECORDS))
-    plan = entity_pairs(docs, Ontology.default(), split_above=None)._jdf.queryExecution().executedPlan().toString()
+    plan = entity_pairs(docs, Ontology.default())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan

@@ -20,7 +20,9 @@ def plain(rows):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    from glossmill.plans.catalog import QUERIES
+
+    assert set(QUERIES) <= set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -52,10 +54,19 @@ def test_narrow_queries_shuffle_only_to_spread_the_scan(spark, name):
     assert text.count("from_json") == 1
 
 
-def test_long_records_are_found_by_statistics(spark):
-    """The branch for long records pushes its size test into the Parquet scan."""
-    text = plan(queries()["pair_labels"](spark, str(SMALL)))
-    assert "GreaterThan(n_entities,64)" in text
+def test_pairs_are_made_once_and_none_to_be_dropped(spark):
+    """Pair samples of unsaved documents: one scan, one parse, and no filter on labels above the second generator."""
+    from glossmill.operators.render import build_samples
+    from glossmill.plans.annotated import documents
+
+    text = plan(build_samples(documents(spark, str(SMALL)), "causal", "re_only", "pairwise"))
+    assert text.count("FileScan") == 1 and text.count("from_json") == 1
+    assert "label" not in "".join(line for line in text.split("Generate explode(_objects")[0].splitlines() if "Filter" in line)
+
+
+def test_integrity_needs_one_scan_and_no_join(spark):
+    text = plan(queries()["relations_integrity"](spark, str(SMALL)))
+    assert text.count("FileScan") == 1 and "Join" not in text
 
 
 def test_long_records_spread_their_pairs(spark):
@@ -72,6 +83,6 @@ def test_long_records_spread_their_pairs(spark):
         "source_idx int, file string, block long, seq long, doc_id string, words array<string>, entities array<"
         + ENTITY.simpleString() + ">, relations array<struct<relation_type:string,subject_id:string,object_id:string>>, n_entities int",
     )
-    pairs = entity_pairs(docs)
+    pairs = entity_pairs(docs, tasks=8)
     per_task = [r["n"] for r in pairs.filter("seq = 0").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(per_task) == 200 * 199 and len(per_task) > 1 and max(per_task) < 0.6 * sum(per_task)

@@ -128,9 +128,7 @@ def test_dense_id_and_shards(spark, partitions):
 
 
 @pytest.mark.parametrize("size,kept", [(0.2, 20), (5, 5), (1000, 100), (1, 100), (1.0, 100), (None, 100), (0.001, 1), (0, 1)])
-@pytest.mark.parametrize("top_k", [10_000, 2])
-def test_head_subset(spark, size, kept, top_k, monkeypatch):
-    monkeypatch.setattr(ids, "TOP_K_LIMIT", top_k)
+def test_head_subset(spark, size, kept):
     rows = spark.range(100).select((F.col("id") % 3).alias("a"), (99 - F.col("id")).alias("b"), F.lit("x").alias("payload"))
     got = sorted((r.a, r.b) for r in ids.head_subset(rows, size, ["a", "b"]).collect())
     assert got == sorted((i % 3, 99 - i) for i in range(100))[:kept]

@@ -135,18 +135,17 @@ def test_regroup(spark, lines_file):
         assert json.loads(r.value) == {"relations": [dict(zip(("label", "subject_id", "object_id"), x)) for x in items]}
 
 
-def test_regroup_shared_id_in_chunks(spark, lines_file, monkeypatch):
-    monkeypatch.setattr(scoring, "CHUNK", 8)
+def test_regroup_shared_id_keeps_every_document(spark, lines_file):
     docs, preds, said = pair_setup(spark, lines_file, True)
-    order = ["seq", *PAIR_POS]
     from glossmill.operators.ids import with_dense_id
 
-    rows = scoring.regroup_by_doc_id(with_dense_id(preds, order)).orderBy("doc_id", "chunk").collect()
-    assert all(len(r.relations) <= 8 for r in rows) and len([r for r in rows if r.doc_id == "same"]) > 1
+    silent = docs.limit(1).withColumn("doc_id", F.lit("silent"))
+    rows = scoring.relations_by_doc_id(with_dense_id(preds, ["seq", *PAIR_POS]), docs.unionByName(silent)).orderBy("doc_id", "id").collect()
     got = {}
     for r in rows:
-        got.setdefault(r.doc_id, []).extend((x.label, x.subject_id, x.object_id) for x in r.relations)
-    assert got == {d: [x for _, x in sorted(items)] for d, items in said.items()}
+        got.setdefault(r.doc_id, []).extend([(r.label, r.subject_id, r.object_id)] if r.label else [])
+    assert {d: v for d, v in got.items() if v} == {d: [x for _, x in sorted(items)] for d, items in said.items() if items}
+    assert got["silent"] == [] and set(got) == {r.doc_id for r in docs.collect()} | {"silent"}
 
 
 def test_gold_outside_the_allowed_pairs_is_missed(spark, lines_file):
