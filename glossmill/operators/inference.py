@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,15 @@ from glossmill.session import computed_once
 
 Generator = Callable[[list[str]], list[str]]
 SAMPLE_INFO = ["doc_id", "subject_id", "object_id"]
+_loaded: dict[str, Generator] = {}
+
+
+def loaded(run_id: str, make_generator: Callable[[], Generator]) -> Generator:
+    """The generator of a run, made once in each Python worker process, which Spark uses for many tasks."""
+    if run_id not in _loaded:
+        _loaded.clear()  # an earlier run's model must not stay in memory
+        _loaded[run_id] = make_generator()
+    return _loaded[run_id]
 
 
 def with_prompt(samples: DataFrame) -> DataFrame:
@@ -32,17 +42,18 @@ def predict(
 ) -> DataFrame:
     """``keep`` columns and the generated ``raw_text`` of every sample with a ``prompt``.
 
-    ``make_generator`` runs once per task and returns a function from a list of prompts to a list of
+    ``make_generator`` runs once per Python worker process and returns a function from a list of prompts to a list of
     texts.  Columns in ``keep`` travel along, so gold answers kept here need no join when scoring.
     """
     keep = keep or [c for c in [*SAMPLE_KEY, *SAMPLE_INFO, "id"] if c in samples.columns]
     rows = samples.select(*keep, "prompt")
     if partitions:
         rows = rows.repartition(partitions, *[c for c in SAMPLE_KEY if c in keep])
+    run_id = uuid.uuid4().hex
     schema = T.StructType([*samples.select(*keep).schema.fields, T.StructField("raw_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        generate = make_generator()
+        generate = loaded(run_id, make_generator)
         for batch in batches:
             prompts = batch.column("prompt").to_pylist()
             texts: list[str] = []

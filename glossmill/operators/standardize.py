@@ -24,14 +24,29 @@ def without_empty_ends(value: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``record``; lines that are not one JSON object yield no row.
+    """Add ``record``; lines that are not one JSON object, or with annotations that are not objects, yield no row.
 
     The parse sits in a generator so that later filters cannot be pushed below it, where they would
     parse every line a second time.
     """
     record = strict_object(without_empty_ends(F.col(value)), RAW_RECORD)
     kept = F.filter(F.array(record), lambda r: r.isNotNull())
-    return lines.select("*", F.explode(kept).alias("record"))
+    rows = lines.select("*", F.explode(kept).alias("record"))
+    return rows.filter(list_problem(F.col(value), F.col("record")).isNull())
+
+
+def list_problem(value: Column, record: Column) -> Column:
+    """Which annotation list is there but is not a list of objects; NULL if none.
+
+    Such a list reads as NULL although its key is there, and must not pass for an empty one.
+    """
+
+    def lost(name: str) -> Column:
+        there = record[name].isNull() & value.contains(f'"{name}"')
+        return F.when(there, F.coalesce(F.get_json_object(value, f"$.{name}"), F.lit("null")) != "null").otherwise(False)
+
+    return F.when(lost("entities"), "entities is not a list of objects").when(
+        lost("relations"), "relations is not a list of objects")
 
 
 def _has_key(value: Column, record: Column, name: str) -> Column:

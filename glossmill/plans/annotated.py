@@ -139,6 +139,17 @@ def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_lines(spark, sf_dir).withColumn("value", value)
 
 
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broken lines, and among the sound ones some with a number for a list, or a number in a list."""
+    kind = F.size(F.split("value", " ")) % 7
+    value = (
+        F.when(kind == 4, F.replace("value", F.lit('"entities":['), F.lit('"entities":7,"was":[')))
+        .when(kind == 5, F.replace("value", F.lit('"relations":['), F.lit('"relations":[5],"was":[')))
+        .otherwise(F.col("value"))
+    )
+    return broken_lines(spark, sf_dir).withColumn("value", value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize(raw_lines(spark, sf_dir))
 

@@ -24,10 +24,11 @@ from glossmill.operators.tokens import (
     instruction_prompt_length, instruction_tokens, pad_batches, token_lengths, tokenize, tokens,
 )
 from glossmill.plans import annotated as A
+from glossmill.plans.workflow import finish
 from glossmill.schemas import ORDER_KEY, PAIR_POS, RECORD_KEY, SAMPLE_KEY
 from glossmill.session import scratch_path, written
 from glossmill.sources.jsonl import (
-    read_jsonl, read_predictions, source_counts, split_malformed, with_order_key, write_jsonl, write_predictions,
+    line_report, read_jsonl, read_predictions, source_counts, split_malformed, with_order_key, write_jsonl, write_predictions,
 )
 from glossmill.streaming.predict import predict_stream
 
@@ -82,6 +83,12 @@ def well_formed_lines(spark, sf):
     return ok.select("seq", F.length("value").alias("n_chars"))
 
 
+@query("load_report")
+def load_report(spark, sf):
+    """Loaded and damaged lines of two sources by reason."""
+    return line_report(A.damaged_lines(spark, sf).unionByName(A.benchmark_lines(spark, sf)))
+
+
 @query("union_sources")
 def union_sources(spark, sf):
     both = A.raw_lines(spark, sf).unionByName(A.benchmark_lines(spark, sf))
@@ -129,6 +136,14 @@ def final_jsonl(spark, sf):
     return with_dense_id(lines, ORDER_KEY, "line_no").select("line_no", "value")
 
 
+@query("final_pairs")
+def final_pairs(spark, sf):
+    """The final file of a pairwise run: every document in order, those without an answer too."""
+    docs, path = _stored(spark, sf), scratch_path(spark, "final")
+    finish(A.pair_predictions(docs), docs, path, "re_only", "pairwise", RECORD_KEY)
+    return with_dense_id(with_order_key(spark.read.text(path), 0), ORDER_KEY, "line_no").select("line_no", "value")
+
+
 # ---- standardisation --------------------------------------------------------------------------
 
 @query("language_detect")
@@ -363,8 +378,9 @@ def loss_mask(spark, sf):
 @query("pad_batches")
 def padded_batches(spark, sf):
     rows = tokenize(A.sentences(spark, sf).select("seq", "sentence"), "sentence", keep=["seq"])
-    padded = pad_batches(rows, BATCH, order=["seq"])
+    padded = pad_batches(rows.withColumn("labels", F.col("input_ids")), BATCH, order=["seq"])
     return padded.select(
+        F.size(F.filter("labels", lambda x: x == -100)).alias("n_ignored"),
         "id", "seq", "batch", "width", F.size("input_ids").alias("n_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
     )
@@ -436,6 +452,18 @@ def predict_stream_rows(spark, sf):
     return spark.read.parquet(target).select("doc_id", "malformed", "stored")
 
 
+@query("stream_scores")
+def stream_scores(spark, sf):
+    """Entity scores of what a stream wrote against the documents it wrote with it."""
+    source, target, state, docs = (scratch_path(spark, f"scored-{n}") for n in ("in", "out", "state", "docs"))
+    write_jsonl(A.raw_lines(spark, sf), source, DOC_ORDER)
+    run = predict_stream(spark, source, target, state, A.stub_model(), batch_size=16, files_per_trigger=3, documents=docs)
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise run.exception()
+    return scoring.evaluate(spark.read.parquet(target), spark.read.parquet(docs), "ner_only")
+
+
 # ---- scoring ----------------------------------------------------------------------------------
 
 @query("regroup_pairs")

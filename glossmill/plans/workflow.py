@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from glossmill.functions.jsontext import error_json
 from glossmill.ontology import Ontology
+from glossmill.operators import scoring
 from glossmill.operators.ids import head_subset, pending
 from glossmill.operators.inference import SAMPLE_INFO, Generator, parse_predictions, predict, with_prompt
-from glossmill.operators.render import Templates, build_samples
+from glossmill.operators.render import Templates, build_samples, variant
 from glossmill.operators.tokens import MAX_LENGTH, Encoder, instruction_tokens, tokenize
-from glossmill.schemas import PREDICTED, RECORD_KEY, SAMPLE_KEY, SAMPLE_ORDER
-from glossmill.sources.jsonl import load_sources, read_predictions, require_non_empty, write_predictions
+from glossmill.schemas import ORDER_KEY, PREDICTED, RECORD_KEY, SAMPLE_ORDER
+from glossmill.session import released, scratch_path
+from glossmill.sources.jsonl import load_sources, read_predictions, require_non_empty, write_jsonl, write_predictions
 
 
 def prepare_documents(spark: SparkSession, entries: Iterable[tuple[str, str]], path: str) -> DataFrame:
@@ -38,7 +41,8 @@ def training_rows(
     samples = head_subset(samples, subset)
     if "system" in samples.columns:
         return instruction_tokens(samples, SAMPLE_ORDER, max_len, make_encoder)
-    return tokenize(samples, "text", max_len, make_encoder, keep=SAMPLE_ORDER)
+    rows = tokenize(samples, "text", max_len, make_encoder, keep=SAMPLE_ORDER)
+    return rows.withColumn("labels", F.col("input_ids"))  # all of a causal text is learned
 
 
 def stored_predictions(samples: DataFrame, path: str) -> DataFrame | None:
@@ -50,7 +54,7 @@ def stored_predictions(samples: DataFrame, path: str) -> DataFrame | None:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    schema = samples.select(*SAMPLE_KEY, *SAMPLE_INFO).schema.add("raw_text", "string")
+    schema = samples.select(*SAMPLE_ORDER, *SAMPLE_INFO).schema.add("raw_text", "string")
     return spark.read.schema(schema.add("prediction", PREDICTED).add("malformed", "boolean").add("stored", "string")).parquet(path)
 
 
@@ -60,18 +64,39 @@ def run_inference(
     path: str,
     batch_size: int = 4,
     partitions: int | None = None,
-    slices: int = 1,
+    slices: int = 8,
 ) -> DataFrame:
-    """Generate what is still missing, append it, and return all predictions.
+    """Generate what is still missing, append it, and return all predictions with the order key of their samples.
 
     Run it again after a failure: whatever was committed is skipped by key.  A job commits as a whole,
-    so a long run is cut into ``slices`` jobs over disjoint records, and a failure costs one of them.
+    so a run is cut into ``slices`` jobs over disjoint records, and a failure costs one of them.  The
+    missing prompts are found and rendered once, into a table that each job reads its slice of.
     """
+    spark, keep = samples.sparkSession, [*SAMPLE_ORDER, *SAMPLE_INFO]
     done = stored_predictions(samples, path)
     left = samples if done is None else pending(samples, done)
-    prompts = with_prompt(left)
+    slice_of = F.pmod(F.xxhash64(*RECORD_KEY), F.lit(slices)).alias("_slice")
+    prompts = with_prompt(left).select(*keep, "prompt", slice_of)
+    todo = scratch_path(spark, "prompts")
+    prompts.write.partitionBy("_slice").parquet(todo)
     for number in range(slices):
-        part = prompts if slices == 1 else prompts.filter(F.pmod(F.xxhash64(*RECORD_KEY), F.lit(slices)) == number)
-        answers = predict(part, make_generator, batch_size, [*SAMPLE_KEY, *SAMPLE_INFO], partitions)
-        write_predictions(parse_predictions(answers), path)
-    return read_predictions(samples.sparkSession, path)
+        part = spark.read.schema(prompts.schema).parquet(todo).filter(F.col("_slice") == number)
+        write_predictions(parse_predictions(predict(part, make_generator, batch_size, keep, partitions)), path)
+    released(spark, todo)
+    return read_predictions(spark, path)
+
+
+def finish(preds: DataFrame, docs: DataFrame, path: str, task: str, re_mode: str = "global",
+           key: list[str] | None = None) -> DataFrame:
+    """Write the final lines, one for each document in document order, and return the scores.
+
+    Pair answers are regrouped by record; a document without an answer has an empty list, or, where one answer was
+    expected, the error object.
+    """
+    if variant(task, re_mode) == "pair":
+        lines = scoring.prediction_lines(scoring.regroup_pairs(preds, docs))
+    else:
+        answers = docs.join(preds.select(*RECORD_KEY, "stored"), RECORD_KEY, "left")
+        lines = answers.withColumn("value", F.coalesce("stored", error_json(F.lit(""))))
+    write_jsonl(lines, path, ORDER_KEY)
+    return scoring.evaluate(preds, docs, task, re_mode, key)

@@ -69,6 +69,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``scratch_path`` gave out, once nothing reads it any more."""
+    root = checkpoint_root(spark).rstrip("/")
+    if not path.startswith(f"{root}/"):
+        raise ValueError(f"{path} is not a scratch path of this session")
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column so that it is evaluated exactly once per row.
 

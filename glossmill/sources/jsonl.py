@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossmill.functions.jsontext import strict_object
 from glossmill.functions.text import strip
-from glossmill.operators.standardize import standardize
+from glossmill.operators.standardize import list_problem, standardize
 from glossmill.schemas import LANGUAGE_HINTS, LINE, ORDER_KEY, RAW_RECORD
 from glossmill.session import computed_once, written
 
@@ -91,25 +91,33 @@ def load_sources(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> Dat
     return standardize(load_lines(spark, entries))
 
 
+def mark_malformed(lines: DataFrame) -> DataFrame:
+    """Add ``reason``, NULL for lines that hold exactly one JSON object with sound annotation lists."""
+    marked = computed_once(lines, "_record", strict_object(F.col("value"), RAW_RECORD))
+    reason = F.when(F.col("_record").isNull(), "not a JSON object").otherwise(list_problem(F.col("value"), F.col("_record")))
+    return marked.withColumn("reason", reason).drop("_record")
+
+
 def split_malformed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines that hold exactly one JSON object, and the others with a reason."""
-    record = strict_object(F.col("value"), RAW_RECORD)
-
-    def lost(name: str):
-        # A list with a non-object element reads as NULL although the key is there.
-        there = F.col("value").contains(f'"{name}"') & F.col("_record").isNotNull()
-        raw = F.get_json_object("value", f"$.{name}")
-        return F.when(there & F.col(f"_record.{name}").isNull(), F.coalesce(raw, F.lit("null")) != "null").otherwise(False)
-
-    marked = computed_once(lines, "_record", record).withColumn(
-        "reason",
-        F.when(F.col("_record").isNull(), "not a JSON object")
-        .when(lost("entities"), "entities is not a list of objects")
-        .when(lost("relations"), "relations is not a list of objects"),
-    ).drop("_record")
+    """Sound lines, and the others with a reason."""
+    marked = mark_malformed(lines)
     return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 
+def line_report(lines: DataFrame) -> DataFrame:
+    """Lines of each source that load, and that do not by reason."""
+    reason = F.coalesce("reason", F.lit("loaded")).alias("reason")
+    return mark_malformed(lines).groupBy("source", reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+def load_report(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> DataFrame:
+    """The same for listed sources; one that does not exist has a row that says so."""
+    entries = list(entries)
+    _, absent = existing_sources(spark, entries)
+    missing = spark.createDataFrame([(path, "path not found", 0) for path, _ in absent], "source string, reason string, n bigint")
+    return line_report(load_lines(spark, entries)).unionByName(missing)
+
+
 def source_counts(docs: DataFrame, *by: str) -> DataFrame:
     """Documents per source; sum them for the total."""
     return docs.groupBy(*(by or ("source_idx", "source"))).agg(F.count(F.lit(1)).alias("n_docs"))

@@ -25,23 +25,28 @@ def predict_stream(
     re_mode: str = "global",
     hint: str = "auto",
     batch_size: int = 4,
-    files_per_trigger: int | None = None,
+    files_per_trigger: int = 1000,
+    documents: str | None = None,
 ) -> StreamingQuery:
     """Process every file that has arrived since the last run and stop.
 
     The checkpoint fixes which files belong to which micro-batch, and a micro-batch owns one folder of
     the target that it replaces as a whole.  Running again, also after a failure half-way, therefore
-    neither loses nor repeats a line.  A micro-batch counts as one source, which keeps keys unique.
+    neither loses nor repeats a line.  A micro-batch counts as one source, which keeps keys unique; with
+    ``documents`` its standardised documents are written there under the same keys, to score against.  A backlog is
+    worked off in micro-batches of ``files_per_trigger`` files.
     """
     check_hint(hint)
-    reader = spark.readStream.format("text")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger)
     keep = [*ORDER_KEY, *PAIR_POS, *SAMPLE_INFO]
 
     def write_batch(lines: DataFrame, batch_id: int) -> None:
-        documents = standardize(lines_of(with_order_key(lines, batch_id), source, hint))
-        samples = with_prompt(build_samples(documents, format, task, re_mode))
+        docs = standardize(lines_of(with_order_key(lines, batch_id), source, hint))
+        if documents:
+            path = f"{documents}/batch={batch_id}"
+            docs.write.mode("overwrite").parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+        samples = with_prompt(build_samples(docs, format, task, re_mode))
         answers = parse_predictions(predict(samples, make_generator, batch_size, keep))
         answers.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
