@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glossmill.llm.byte_cnn import op2_byte_cnn_quality
+from glossmill.llm.check_sql import SQL
 from glossmill.llm.fm_index import op1_fm_index_decontamination
 from glossmill.llm.induced import op9_suffix_array_dedup
 from glossmill.llm.language_codes import op10_output_codes_language
@@ -19,4 +20,4 @@ QUERIES = {f.__name__: f for f in (
     op10_output_codes_language,
 )}
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
