@@ -38,14 +38,23 @@ def normalize_term(col: Column) -> Column:
     return F.regexp_replace(strip(F.lower(col)), WS_RUN, " ")
 
 
+def padded_text(text: Column) -> Column:
+    """The normalised text with a blank on both sides, to look terms up in: make it once for a text."""
+    return F.concat(F.lit(" "), normalize_term(text), F.lit(" "))
+
+
 def resolve_span(term: Column, text: Column) -> Column:
-    """First case-insensitive whole-token match as ``struct<start, end>``, or (-1, -1).
+    """First case-insensitive whole-token match as ``struct<start, end>``, or (-1, -1)."""
+    return span_in(term, padded_text(text))
+
+
+def span_in(term: Column, hay: Column) -> Column:
+    """The same in a ``padded_text``.
 
     Tokens hold no blanks, so a token-aligned match is a substring match of the two normalised texts
     with a blank on both sides, and the start index is the number of blanks before it.
     """
     needle = normalize_term(term)
-    hay = F.concat(F.lit(" "), normalize_term(text), F.lit(" "))
     size = F.length(needle) - F.length(F.replace(needle, F.lit(" "), F.lit(""))) + 1
 
     def span(pair: Column) -> Column:

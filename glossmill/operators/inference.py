@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from glossmill.functions.chat import causal_prompt, chat_prompt
 from glossmill.functions.jsontext import error_json, strict_object
+from glossmill.operators.tokens import clip_tokens
 from glossmill.schemas import PREDICTED, SAMPLE_KEY
 from glossmill.session import computed_once
 
@@ -39,14 +40,17 @@ def predict(
     batch_size: int = 4,
     keep: list[str] | None = None,
     partitions: int | None = None,
+    max_length: int | None = None,
 ) -> DataFrame:
     """``keep`` columns and the generated ``raw_text`` of every sample with a ``prompt``.
 
     ``make_generator`` runs once per Python worker process and returns a function from a list of prompts to a list of
     texts.  Columns in ``keep`` travel along, so gold answers kept here need no join when scoring.
+    ``max_length`` cuts prompts to that many default tokens.
     """
     keep = keep or [c for c in [*SAMPLE_KEY, *SAMPLE_INFO, "id"] if c in samples.columns]
-    rows = samples.select(*keep, "prompt")
+    prompt = F.col("prompt") if max_length is None else clip_tokens(F.col("prompt"), max_length)
+    rows = samples.select(*keep, prompt.alias("prompt"))
     if partitions:
         rows = rows.repartition(partitions, *[c for c in SAMPLE_KEY if c in keep])
     run_id = uuid.uuid4().hex

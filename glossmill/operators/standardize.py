@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossmill.functions.jsontext import strict_object
-from glossmill.functions.text import resolve_span, strip, words
+from glossmill.functions.text import padded_text, span_in, strip, words
 from glossmill.schemas import LANGUAGES, ORDER_KEY, RAW_RECORD
+from glossmill.session import computed_once
 
 # Defaults of missing fields.
 UNKNOWN_LABEL = "UNKNOWN"
@@ -167,6 +168,11 @@ def relation_endpoints(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def with_resolved_spans(mentions: DataFrame, term: str, text: str) -> DataFrame:
-    """Add the first token span of a term in a text."""
-    return mentions.withColumn("span", resolve_span(F.col(term), F.col(text)))
+def mentions_with_spans(docs: DataFrame, terms: Column, keep: list[str]) -> DataFrame:
+    """One row per term of a text, an array column: its position, the term, and its first token span.
+
+    The text is normalised once, before its terms become rows.
+    """
+    ready = computed_once(docs.select(*keep, "text", terms.alias("_terms")), "_hay", padded_text(F.col("text")))
+    rows = ready.select(*keep, "_hay", F.posexplode("_terms").alias("pos", "term"))
+    return rows.select(*keep, "pos", "term", span_in(F.col("term"), F.col("_hay")).alias("span"))

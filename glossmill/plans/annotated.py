@@ -24,7 +24,6 @@ SENTENCES_PER_DOC = 1 << 31
 SENTENCE_END = r"([.!?])\s+"
 TREATMENT_RELATIONS = ["TrIP", "TrWP", "TrCP", "TrAP", "TrNAP"]
 TEST_RELATIONS = ["TeRP", "TeCP"]
-RELATION_TYPE = "array<struct<label:string,subject_id:string,object_id:string,head_idx:string,tail_idx:string>>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

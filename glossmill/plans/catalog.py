@@ -18,10 +18,10 @@ from glossmill.operators.inference import parse_predictions, predict, with_promp
 from glossmill.operators.pairs import entity_pairs, mark_pairs
 from glossmill.operators.render import build_samples, entity_list
 from glossmill.operators.standardize import (
-    clean_text, parse_lines, project_language, relation_endpoints, standardize, with_resolved_spans,
+    clean_text, parse_lines, project_language, relation_endpoints, standardize, mentions_with_spans,
 )
 from glossmill.operators.tokens import (
-    instruction_prompt_length, instruction_tokens, pad_batches, token_lengths, tokenize, tokens,
+    MAX_LENGTH, clip_tokens, instruction_prompt_length, instruction_tokens, pad_batches, token_lengths, tokenize, tokens,
 )
 from glossmill.plans import annotated as A
 from glossmill.plans.workflow import finish
@@ -215,10 +215,9 @@ def relation_ends(spark, sf):
 @query("resolve_span")
 def resolve_span(spark, sf):
     """Every entity word and the word behind it, looked up in the sentence."""
-    docs = _docs(spark, sf).select("seq", "text", "words", F.posexplode("entities").alias("pos", "e"))
-    following = F.get("words", F.col("e.start_token_idx") + 1)
-    term = F.concat(F.lower("e.term"), F.coalesce(F.concat(F.lit("  "), following), F.lit(" nowhere")))
-    return with_resolved_spans(docs.withColumn("term", term), "term", "text").select(
+    terms = F.transform("entities", lambda e: F.concat(
+        F.lower(e["term"]), F.coalesce(F.concat(F.lit("  "), F.get(F.col("words"), e["start_token_idx"] + 1)), F.lit(" nowhere"))))
+    return mentions_with_spans(_docs(spark, sf), terms, ["seq"]).select(
         "seq", "pos", F.col("span.start").alias("start_idx"), F.col("span.end").alias("end_idx")
     )
 
@@ -424,6 +423,13 @@ def resume_pending(spark, sf):
     )
 
 
+@query("clipped_prompts")
+def clipped_prompts(spark, sf):
+    """Prompts as a model with the default maximum length sees them."""
+    prompts = with_prompt(_instructions(spark, sf))
+    return prompts.select("seq", F.size(tokens(clip_tokens(F.col("prompt"), MAX_LENGTH))).alias("n_tokens"))
+
+
 @query("predict_stub")
 def predict_stub(spark, sf):
     samples = with_prompt(_instructions(spark, sf, "ner"))

@@ -65,6 +65,7 @@ def run_inference(
     batch_size: int = 4,
     partitions: int | None = None,
     slices: int = 8,
+    max_length: int | None = MAX_LENGTH,
 ) -> DataFrame:
     """Generate what is still missing, append it, and return all predictions with the order key of their samples.
 
@@ -81,7 +82,7 @@ def run_inference(
     prompts.write.partitionBy("_slice").parquet(todo)
     for number in range(slices):
         part = spark.read.schema(prompts.schema).parquet(todo).filter(F.col("_slice") == number)
-        write_predictions(parse_predictions(predict(part, make_generator, batch_size, keep, partitions)), path)
+        write_predictions(parse_predictions(predict(part, make_generator, batch_size, keep, partitions, max_length)), path)
     released(spark, todo)
     return read_predictions(spark, path)
 

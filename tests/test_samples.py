@@ -159,3 +159,22 @@ def test_partition_count_does_not_matter(spark, lines_file):
         rows = ids.with_dense_id(render.build_samples(docs, "causal", "re_only", "pairwise"), SAMPLE_ORDER).orderBy("id").collect()
         outputs.append([(r.id, r.doc_id, r.text) for r in rows])
     assert outputs[0] == outputs[1] and len(outputs[0]) == 40
+
+
+@pytest.mark.parametrize("most", [1, 3, 5, 6, 7, 1024])
+def test_clipped_text_has_that_many_tokens(spark, most):
+    from glossmill.operators.tokens import clip_tokens, tokens
+
+    text = "  one, two\n(three) $1 \\x four\n"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        clip_tokens(F.col("t"), most).alias("clipped"), tokens(F.col("t")).alias("all"), tokens(clip_tokens(F.col("t"), most)).alias("left")).first()
+    assert text.startswith(row.clipped) and row.left == row["all"][:most]
+    assert row.clipped == text or len(row["all"]) > most
+
+
+def test_prompts_are_clipped_before_the_model(spark):
+    from glossmill.operators.inference import predict
+
+    rows = spark.createDataFrame([(1, "a b c d"), (2, "a")], "id long, prompt string")
+    echo = lambda: lambda prompts: prompts
+    assert {r.id: r.raw_text for r in predict(rows, echo, keep=["id"], max_length=2).collect()} == {1: "a b", 2: "a"}
