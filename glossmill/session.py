@@ -53,9 +53,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder under the shared one."""
+    return f"{checkpoint_root(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path under the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh, unused path in the application's folder.  It stays until ``released``."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -69,13 +74,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, path: str) -> None:
-    """Delete a path that ``scratch_path`` gave out, once nothing reads it any more."""
-    root = checkpoint_root(spark).rstrip("/")
-    if not path.startswith(f"{root}/"):
-        raise ValueError(f"{path} is not a scratch path of this session")
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+def released(spark: SparkSession, path: str | None = None) -> None:
+    """Delete a path that ``scratch_path`` gave out, or all of them, once nothing reads them any more."""
+    root = scratch_root(spark)
+    if path is not None and not path.startswith(f"{root}/"):
+        raise ValueError(f"{path} is not a scratch path of this application")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path or root)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 

@@ -154,3 +154,16 @@ def test_record_scores_equal_shared_scores_by_key(spark, documents):
     ours = scoring.evaluate(preds, documents, "re_only", "pairwise", RECORD_KEY).first()
     other = scoring.evaluate(preds, documents, "re_only", "pairwise", ["source_idx", "seq", "doc_id"]).first()
     assert ours == other
+
+
+def test_scratch_tables_go_when_released(spark, documents):
+    from glossmill.session import released, scratch_path, scratch_root, written
+
+    kept, given = written(documents, "kept"), scratch_path(spark, "given")
+    documents.write.parquet(given)
+    released(spark, given)
+    assert not os.path.exists(given) and kept.count() == 12
+    with pytest.raises(ValueError):
+        released(spark, "/somewhere/else")
+    released(spark)
+    assert not os.path.exists(scratch_root(spark))
