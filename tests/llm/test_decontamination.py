@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 from glossmill.llm.fm_index import FMIndex, WaveletMatrix, decontaminate, op1_fm_index_decontamination
+from llm_tables import awkward, make_docs, sample  # noqa: F401
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}

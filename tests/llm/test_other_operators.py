@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossmill.llm import byte_cnn, language_codes, outlier_rules, packing, simhash, token_rollups, wrapper_pages
 from glossmill.llm.components import components
 from glossmill.llm.token_ids import byte_bpe_50k, ids_of
+from llm_tables import awkward, make_docs, sample  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")

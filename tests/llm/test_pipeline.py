@@ -7,6 +7,7 @@ from glossmill.llm.byte_cnn import quality_scores
 from glossmill.llm.fm_index import decontaminate
 from glossmill.llm.induced import suffix_dedup
 from glossmill.llm.simhash import near_duplicates
+from llm_tables import awkward, make_docs, sample  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -9,6 +9,7 @@ from glossmill.llm.induced import suffix_dedup
 from glossmill.llm.suffixes import doubled_suffix_array, permuted_prefixes, suffix_array
 from glossmill.llm.superkmers import substring_dedup
 from glossmill.llm.windows import runs_of
+from llm_tables import awkward, make_docs, sample  # noqa: F401
 
 
 def removed(units, window):
