@@ -165,15 +165,19 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, crowd: int = 2048) -> D
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = 2048) -> DataFrame:
-    """doc_id, row keys, fingerprint (16 hex digits) and component_id of each document."""
+def rooted(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = 2048) -> DataFrame:
+    """doc_id, row keys, fp, component_id and root of each document; only the root, a fingerprint, tells components apart."""
     rows = stored(fingerprints(keyed(docs), shingle).drop("text"), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(near_links(fps.select("fp"), distance, crowd))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
-    return rows.join(names, "fp").select(
+    return rows.join(named.join(least, "root").select("fp", "component_id", "root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = 2048) -> DataFrame:
+    """doc_id, row keys, fingerprint (16 hex digits) and component_id of each document."""
+    return rooted(docs, shingle, distance, crowd).select(
         "doc_id", *KEYS, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -181,10 +185,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = 2048) -> DataFrame:
     """The documents, only one left of each component: that of the smallest doc_id, ties broken by the text's hash.
 
-    All columns are kept. Of rows that repeat a document in full, one stays.
+    All columns are kept. Of rows that repeat a document in full, one stays. Components are told apart by their root:
+    doc_ids may be null or repeated in several.
     """
-    groups = near_duplicates(docs, shingle, distance, crowd)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEYS)).alias("w"))
+    groups = rooted(docs, shingle, distance, crowd)
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEYS)).alias("w"))
     kept = with_keys(docs).join(best.select(*(F.col(f"w.{k}") for k in KEYS)), KEYS, "left_semi")
     nth = F.expr(f"row_number() over (partition by {', '.join(KEYS)} order by {KEYS[0]})")
     return kept.withColumn("row_nth", nth).filter("row_nth = 1").select(*docs.columns)
