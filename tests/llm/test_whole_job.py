@@ -1,7 +1,7 @@
 """Inputs on which an operator once did less than its whole job."""
 from collections import Counter
 
-from glossmill.llm import simhash
+from glossmill.llm import simhash, wrapper_pages
 from llm_tables import awkward, make_docs, sample  # noqa: F401
 
 
@@ -24,3 +24,35 @@ def test_one_of_each_with_null_and_repeated_ids(make_docs):
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == Counter(best)
     left = {simhash.fingerprint((r["text"] or "").encode()) for r in kept}
     assert left == set(prints)
+
+
+# Pages
+
+
+def texts_of(*pages):
+    return ["\n".join(wrapper_pages.content(tree, 3)) for tree in wrapper_pages.induced(list(pages))]
+
+
+def test_articles_that_are_comments_or_cards_do_not_hide_the_body():
+    body = "<div class='story'><p>The body of the page.</p></div>"
+    assert texts_of(f"{body}<article class='comment'><p>first!</article>") == ["The body of the page."]
+    assert texts_of(f"{body}<div class='related'><article><p>other</article></div>") == ["The body of the page."]
+    assert "The body of the page." in texts_of(f"{body}<article class='card'><p>more</article>")[0]
+    assert "The body of the page." in texts_of(f"{body}<article><p>a</article><article><p>b</article>")[0]
+
+
+def test_named_parts_of_an_article_stay():
+    page = "<article><h1>T</h1><h2 id='related-work'>Related</h2><p>x</p><section id='discussion'><p>y</p></section><div id='comments'>z</div></article>"
+    assert texts_of(page) == ["T\nRelated\nx\ny"]
+    assert texts_of("<article class='post tags-news'><p>Whole text.</article><p>out") == ["Whole text."]
+
+
+def test_varying_slots_count_outside_the_article():
+    pages = [f"<title>{i}</title><p>Daily paper</p><div class='lead'><p>Lead {i}</p></div><article><p>Text {i}</p></article>" for i in range(4)]
+    assert texts_of(*pages) == [f"Lead {i}\nText {i}" for i in range(4)]
+    assert texts_of(pages[0]) == ["Text 0"]
+
+
+def test_form_around_the_page():
+    assert texts_of("<form><div><p>The whole page stands in a form.</div></form><p>end") == ["The whole page stands in a form.\nend"]
+    assert texts_of("<p>A page with a body of some length.<form><p>Your name</p><button>Send</button></form>") == ["A page with a body of some length."]
