@@ -56,3 +56,26 @@ def test_varying_slots_count_outside_the_article():
 def test_form_around_the_page():
     assert texts_of("<form><div><p>The whole page stands in a form.</div></form><p>end") == ["The whole page stands in a form.\nend"]
     assert texts_of("<p>A page with a body of some length.<form><p>Your name</p><button>Send</button></form>") == ["A page with a body of some length."]
+
+
+def test_deep_pages():
+    deep = lambda text: f"<title>{text}</title>" + "<div>" * 5000 + f"<p>{text}<p>All rights reserved"
+    assert texts_of(*map(deep, "abc")) == ["a", "b", "c"]
+
+
+def test_long_lists_of_siblings():
+    def page(name, n):
+        return f"<title>{name}</title><ul><li>start</ul>" + "".join(f"<h2>{name} {i}</h2><p>text {name} {i}" for i in range(n)) + "<div>The same end</div>"
+
+    blocks = lambda name, n: "\n".join(f"{name} {i}\ntext {name} {i}" for i in range(n))
+    assert texts_of(page("a", 10000), page("b", 10000), page("c", 9500)) == [blocks("a", 10000), blocks("b", 10000), blocks("c", 9500)]
+
+
+def test_blocks_of_unlike_siblings():
+    """Nothing is lost where neither beginnings nor ends are equal."""
+    tags = ["h2", "p", "div", "ul"]
+
+    def page(name, step):
+        return f"<title>{name}</title>" + "".join(f"<{tags[i * step % 7 % 4]}>{name} {i}</{tags[i * step % 7 % 4]}>" for i in range(1500))
+
+    assert texts_of(*(page(n, k) for n, k in (("a", 1), ("b", 3), ("c", 5)))) == ["\n".join(f"{n} {i}" for i in range(1500)) for n in "abc"]
