@@ -267,8 +267,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     hits = hits_of(shared[0])
     for block in shared[1:]:
         hits = hits.unionByName(hits_of(block))
+    # Sets: rows that repeat a document in full share the key, and each brings the same answer of every block.
     hits = hits.groupBy(*KEYS).agg(
-        F.flatten(F.collect_list("spans")).alias("all_spans"), F.flatten(F.collect_list("items")).alias("all_items")
+        F.flatten(F.collect_set("spans")).alias("all_spans"), F.flatten(F.collect_set("items")).alias("all_items")
     )
     joined = with_keys(docs.drop("all_spans", "all_items")).join(hits.hint("shuffle_hash"), KEYS, "left")
 

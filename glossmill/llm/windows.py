@@ -221,7 +221,8 @@ def _sorted_buckets(runs: DataFrame, units: Units, window: int, shard_bytes: int
         (F.col("first") + s.a).alias("a"),
         (F.col("first") + F.when(s.b < 0, F.col("n")).otherwise(s.b) + (window - 1)).alias("b"),
     )))
-    return hits.select(*KEYS, stretch).groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
+    # A set: rows that repeat a document in full share the key, and each brings the same stretches.
+    return hits.select(*KEYS, stretch).groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("stretches"))
 
 
 def with_stretches(docs: DataFrame, stretches: DataFrame) -> DataFrame:

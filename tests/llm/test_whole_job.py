@@ -1,7 +1,8 @@
 """Inputs on which an operator once did less than its whole job."""
 from collections import Counter
 
-from glossmill.llm import simhash, wrapper_pages
+from glossmill.llm import fm_index, induced, simhash, superkmers, wrapper_pages
+from glossmill.llm.common import keyed
 from llm_tables import awkward, make_docs, sample  # noqa: F401
 
 
@@ -79,3 +80,29 @@ def test_blocks_of_unlike_siblings():
         return f"<title>{name}</title>" + "".join(f"<{tags[i * step % 7 % 4]}>{name} {i}</{tags[i * step % 7 % 4]}>" for i in range(1500))
 
     assert texts_of(*(page(n, k) for n, k in (("a", 1), ("b", 3), ("c", 5)))) == ["\n".join(f"{n} {i}" for i in range(1500)) for n in "abc"]
+
+
+# Rows that repeat a document in full
+
+
+def test_stretches_do_not_grow_with_the_copies(make_docs):
+    text = " ".join(f"word{i}" for i in range(300))
+    other = " ".join(f"word{i}" for i in range(250, 500))
+    for find in (superkmers.repeated_word_stretches, induced.repeated_byte_stretches):
+        most = lambda n: max(len(r["stretches"]) for r in find(keyed(make_docs([(1, text)] * n + [(2, other)]))).collect())
+        assert most(40) == most(2) > 0
+
+
+def test_hits_of_blocks_do_not_grow_with_the_copies(spark, make_docs, monkeypatch):
+    seen, plain = [], fm_index.appended
+
+    def watched(df, results, of_batches, drop=()):
+        if "all_spans" in df.columns:
+            seen.append(max(len(r["all_spans"]) for r in df.select("all_spans").collect()))
+        return plain(df, results, of_batches, drop)
+
+    monkeypatch.setattr(fm_index, "appended", watched)
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i}") for i in range(6)], "item_id long, text string")
+    text = " and ".join(f"alpha{i} beta{i} gamma{i}" for i in range(6))
+    rows = fm_index.decontaminate(make_docs([(1, text)] * 40), items, block_bytes=30).collect()
+    assert seen == [6] and len(rows) == 40 and {(r["n_hit"], r["n_items"]) for r in rows} == {(18, 6)}
