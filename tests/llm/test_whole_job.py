@@ -1,7 +1,9 @@
 """Inputs on which an operator once did less than its whole job."""
 from collections import Counter
 
-from glossmill.llm import fm_index, induced, simhash, superkmers, wrapper_pages
+import numpy as np
+
+from glossmill.llm import fm_index, induced, outlier_rules, simhash, superkmers, wrapper_pages
 from glossmill.llm.common import keyed
 from llm_tables import awkward, make_docs, sample  # noqa: F401
 
@@ -106,3 +108,26 @@ def test_hits_of_blocks_do_not_grow_with_the_copies(spark, make_docs, monkeypatc
     text = " and ".join(f"alpha{i} beta{i} gamma{i}" for i in range(6))
     rows = fm_index.decontaminate(make_docs([(1, text)] * 40), items, block_bytes=30).collect()
     assert seen == [6] and len(rows) == 40 and {(r["n_hit"], r["n_items"]) for r in rows} == {(18, 6)}
+
+
+# Rules
+
+
+def test_outliers_in_each_single_statistic(make_docs):
+    rng = np.random.default_rng(5)
+    word = lambda least=2, most=8: "".join(rng.choice(list("abcdefghij"), rng.integers(least, most)))
+    words = lambda n, *sizes: [word(*sizes) for _ in range(n)]
+    rows = [(i, " ".join(words(rng.integers(80, 200)))) for i in range(200)]
+    for i in range(3):
+        lines = [" ".join(words(2, 4, 8)) for _ in range(20)]
+        once = words(20, 4, 8)
+        planted = [
+            " ".join(words(8000)), " ".join(words(120, 14, 18)), " ".join(words(120)) + " #" * 40,
+            "\n".join(x for _ in range(5) for x in rng.permutation(lines)),
+            " ".join(words(55, 4, 8) + once + words(3, 4, 8) + once),
+        ]
+        rows += [(1000 + 10 * i + k, text) for k, text in enumerate(planted)]
+    found = {r["doc_id"]: r for r in outlier_rules.outlier_rules(make_docs(rows)).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert all(found[i]["kept"] for i in range(200))
+    assert not [i for i, r in found.items() if i >= 1000 and r["kept"]]
