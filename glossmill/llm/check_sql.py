@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glossmill.llm.fm_index import WINDOW as TEST_WINDOW
+from glossmill.llm.merkle import FANOUT, FIELDS
 from glossmill.llm.superkmers import WINDOW
 
 SPACES = r"[ \t\n\x0b\f\r]+"
@@ -14,6 +15,34 @@ def lowered_words(text: str) -> str:
     return f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{WORD}')"
 
 
+def merkle_leaf(**other: str) -> str:
+    """SQL of a row's leaf, some fields given by another expression."""
+    texts = [f"({other.get(f, f)})::VARCHAR" for f in FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+# The standard reflected polynomial of CRC-32, from which the table of its 256 bytes follows.
+CRC_POLYNOMIAL = 0xEDB88320
+CRC_TABLE = "list_transform(range(256), lambda b: " + "list_reduce([b::BIGINT] || range(8), lambda c, i: " + (
+    f"CASE WHEN c & 1 = 1 THEN xor(c >> 1, {CRC_POLYNOMIAL}) ELSE c >> 1 END))")
+
+
+def merkle_levels(name: str, start: str) -> str:
+    """Recursive tables of nodes (tree, level, pos, digest, n nodes on the level) from the nodes of level 0."""
+    return f"""{name} AS ({start} UNION ALL
+          SELECT tree, level + 1, pos // {FANOUT}, sha256(string_agg(digest, '' ORDER BY pos)), (n + {FANOUT - 1}) // {FANOUT}
+          FROM {name} WHERE n > 1 GROUP BY tree, level, pos // {FANOUT}, n)"""
+
+
+def merkle_steps(source: str) -> str:
+    """Siblings of each node of a run, as text before and behind it."""
+    run = f"(PARTITION BY tree, level, pos // {FANOUT} ORDER BY pos ROWS BETWEEN"
+    return f"""SELECT tree, level, pos, pos // {FANOUT} AS up,
+          coalesce(string_agg(digest, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+          coalesce(string_agg(digest, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+        FROM {source} WHERE n > 1"""
+
+
 SQL = {
     "op8_superkmer_dedup": f"""
         WITH w AS (SELECT row_number() OVER () AS rid, doc_id,
@@ -44,4 +73,27 @@ SQL = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)""",
+    "op12_pointer_jumping_manifest": f"""
+        WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+        doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS tree, {merkle_leaf()} AS leaf,
+                  {merkle_leaf(text=f"translate(text, '{UPPER}', '{LOWER}')")} AS other,
+                  xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                    lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1])), 4294967295) AS code FROM documents, crc),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                     count(*) OVER (PARTITION BY tree) AS size FROM doc),
+        {merkle_levels("node", "SELECT tree, 0 AS level, pos, leaf AS digest, size AS n FROM placed")},
+        subs AS (SELECT tree, level, digest FROM node WHERE n = 1),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM subs),
+        {merkle_levels("top", "SELECT '/' AS tree, 0 AS level, pos, digest, n FROM ranked")},
+        steps AS ({merkle_steps("node")} UNION ALL {merkle_steps("top")}),
+        fold AS (SELECT rid, tree, 0 AS level, pos, CASE WHEN code % 3 = 0 THEN other ELSE leaf END AS digest, '' AS proof FROM placed
+          UNION ALL
+          SELECT f.rid, coalesce(s.tree, '/'), CASE WHEN s.tree IS NULL THEN 0 ELSE f.level + 1 END, coalesce(s.up, r.pos),
+            CASE WHEN s.tree IS NULL THEN f.digest ELSE sha256(s.before || f.digest || s.behind) END,
+            f.proof || coalesce(s.before || s.behind, '')
+          FROM fold f LEFT JOIN steps s USING (tree, level, pos) LEFT JOIN ranked r ON s.tree IS NULL AND f.tree = r.tree
+          WHERE s.tree IS NOT NULL OR f.tree <> '/')
+        SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root,
+               f.digest = r.digest AS verified
+        FROM placed p JOIN subs s USING (tree) JOIN fold f USING (rid) JOIN top r ON r.n = 1 AND f.tree = '/' AND f.level = r.level""",
 }

@@ -7,6 +7,7 @@ from glossmill.llm.check_sql import SQL
 from glossmill.llm.fm_index import op1_fm_index_decontamination
 from glossmill.llm.induced import op9_suffix_array_dedup
 from glossmill.llm.language_codes import op10_output_codes_language
+from glossmill.llm.merkle import op12_pointer_jumping_manifest
 from glossmill.llm.outlier_rules import op6_mcd_quality_rules
 from glossmill.llm.packing import op4_residual_packing
 from glossmill.llm.simhash import op5_simhash_variants
@@ -17,7 +18,7 @@ from glossmill.llm.wrapper_pages import op3_wrapper_main_text
 QUERIES = {f.__name__: f for f in (
     op1_fm_index_decontamination, op2_byte_cnn_quality, op3_wrapper_main_text, op4_residual_packing,
     op5_simhash_variants, op6_mcd_quality_rules, op7_token_rollups, op8_superkmer_dedup, op9_suffix_array_dedup,
-    op10_output_codes_language,
+    op10_output_codes_language, op12_pointer_jumping_manifest,
 )}
 
 __all__ = ["QUERIES", "SQL"]

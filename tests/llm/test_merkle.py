@@ -1,0 +1,98 @@
+"""Merkle manifest: every digest and proof against a tree built in plain Python."""
+
+import hashlib
+import zlib
+
+import pytest
+from llm_tables import *  # noqa: F403
+from pyspark.sql import functions as F
+
+from glossmill.llm.merkle import folded, manifest, op12_pointer_jumping_manifest, proof_digest
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_of(row):
+    parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (row.doc_id, row.source, row.lang, row.n_chars, row.text)]
+    return digest("".join(parts))
+
+
+def tree_of(leaves):
+    rows = [leaves]
+    while len(rows[-1]) > 1:
+        rows.append([digest("".join(rows[-1][i : i + 8])) for i in range(0, len(rows[-1]), 8)])
+    return rows
+
+
+def way(tree, place):
+    for row in tree[:-1]:
+        begin = place // 8 * 8
+        run = row[begin : begin + 8]
+        yield "".join(run[: place - begin]), "".join(run[place - begin + 1 :])
+        place //= 8
+
+
+def expected(rows):
+    """(doc_id, leaf, subroot, root, proof digest) of all rows, sorted."""
+    groups = {}
+    for row in rows:
+        groups.setdefault(row.lang, []).append((row.doc_id is not None, row.doc_id, leaf_of(row)))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for leaves in groups.values():
+        leaves.sort(key=lambda x: (x[0], x[1] or 0, x[2]))
+    trees = [tree_of([x[2] for x in groups[g]]) for g in names]
+    top = tree_of([t[-1][0] for t in trees])
+    out = []
+    for k, (name, tree) in enumerate(zip(names, trees)):
+        for i, (_, doc_id, leaf) in enumerate(groups[name]):
+            steps = [*way(tree, i), *way(top, k)]
+            out.append((str(doc_id), leaf, tree[-1][0], top[-1][0], digest("".join(b + a for b, a in steps))))
+    return sorted(out)
+
+
+def found(docs):
+    rows = manifest(docs).withColumn("proof_sha256", proof_digest(F.col("proof"))).withColumn("back", folded(F.col("leaf"), F.col("proof")))
+    rows = rows.collect()
+    assert all(r.back == r.root and r.claimed == r.leaf for r in rows)
+    return sorted((str(r.doc_id), r.leaf, r.subroot, r.root, r.proof_sha256) for r in rows)
+
+
+@pytest.mark.parametrize("sizes", [
+    {"en": 1}, {"en": 8}, {"en": 9}, {"en": 65, None: 1, "de": 7}, {None: 520, "": 3, "en": 1, "z": 2},
+])
+def test_trees_of_all_shapes(make_docs, sizes):
+    docs = make_docs([(i * 7 % 1000, f"text {i}", lang, "s") for lang, n in sizes.items() for i in range(n)])
+    assert found(docs) == expected(docs.collect())
+
+
+def test_many_groups_of_one(make_docs):
+    docs = make_docs([(i, "same", f"lang{i}", "s") for i in range(70)])
+    assert found(docs) == expected(docs.collect())
+
+
+def test_awkward_rows(awkward):
+    """Nulls, empty and long texts, ties, repeated rows; other columns, whatever their names, change nothing."""
+    want = expected(awkward.collect())
+    assert found(awkward) == want
+    assert found(awkward.withColumns({c: F.lit(7) for c in ("tree", "pos", "digest", "level", "members", "tie", "place")})) == want
+
+
+def test_no_rows(make_docs):
+    assert manifest(make_docs([])).collect() == []
+
+
+def test_rows_with_equal_keys_are_not_one_range(spark, make_docs):
+    rows = make_docs([(1, "copy")] * 600 + [(2, "other")])
+    assert found(rows) == expected(rows.collect())
+
+
+def test_query_finds_what_was_altered(spark, tmp_path, make_docs):
+    docs = make_docs([(i, "Some TEXT" if i % 2 else "some text", "en", "s") for i in range(40)] + [(None, "Null ID")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op12_pointer_jumping_manifest(spark, str(tmp_path)).collect()
+    for r in rows:
+        altered = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 0 and r.doc_id % 2 == 1
+        assert r.verified == (not altered) == (r.folded_root == r.root)
+    assert sum(not r.verified for r in rows) > 3
