@@ -5,6 +5,7 @@ from __future__ import annotations
 from glossmill.llm.fm_index import WINDOW as TEST_WINDOW
 from glossmill.llm.merkle import FANOUT, FIELDS
 from glossmill.llm.superkmers import WINDOW
+from glossmill.llm.vector_links import COSINE
 
 SPACES = r"[ \t\n\x0b\f\r]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,4 +97,14 @@ SQL = {
         SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root,
                f.digest = r.digest AS verified
         FROM placed p JOIN subs s USING (tree) JOIN fold f USING (rid) JOIN top r ON r.n = 1 AND f.tree = '/' AND f.level = r.level""",
+    "op13_hyperplane_links": f"""
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        good AS (SELECT rid, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+                   AND len(list_filter(e, lambda c: c <> 0)) > 0),
+        link AS (SELECT a.rid AS a, b.rid AS b FROM good a JOIN good b ON a.rid <> b.rid AND len(a.e) = len(b.e)
+                   WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+        reach AS (SELECT rid AS a, rid AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        least AS (SELECT reach.a AS rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.b GROUP BY reach.a)
+        SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = v.rid) AS n_links, component_id,
+               vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (rid)""",
 }
