@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from glossmill.functions.chat import causal_prompt, chat_prompt
 from glossmill.functions.jsontext import error_json, strict_object
-from glossmill.operators.tokens import clip_tokens
+from glossmill.operators.plugins import Plugin
+from glossmill.operators.tokens import Encoder, clip_by_encoder, clip_tokens
 from glossmill.schemas import PREDICTED, SAMPLE_KEY
 from glossmill.session import computed_once
 
 Generator = Callable[[list[str]], list[str]]
 SAMPLE_INFO = ["doc_id", "subject_id", "object_id"]
-_loaded: dict[str, Generator] = {}
-
-
-def loaded(run_id: str, make_generator: Callable[[], Generator]) -> Generator:
-    """The generator of a run, made once in each Python worker process, which Spark uses for many tasks."""
-    if run_id not in _loaded:
-        _loaded.clear()  # an earlier run's model must not stay in memory
-        _loaded[run_id] = make_generator()
-    return _loaded[run_id]
 
 
 def with_prompt(samples: DataFrame) -> DataFrame:
@@ -34,6 +25,15 @@ def with_prompt(samples: DataFrame) -> DataFrame:
     return samples.withColumn("prompt", causal_prompt(F.col("text")))
 
 
+def clipped_prompt(max_length: int | None, make_encoder: Callable[[], Encoder] | None) -> Column:
+    """The prompt as a model of ``max_length`` tokens sees it: the caller's tokens, or else the default ones."""
+    if max_length is None:
+        return F.col("prompt")
+    if make_encoder is not None:
+        return clip_by_encoder(F.col("prompt"), max_length, make_encoder)
+    return clip_tokens(F.col("prompt"), max_length)
+
+
 def predict(
     samples: DataFrame,
     make_generator: Callable[[], Generator],
@@ -41,23 +41,24 @@ def predict(
     keep: list[str] | None = None,
     partitions: int | None = None,
     max_length: int | None = None,
+    make_encoder: Callable[[], Encoder] | None = None,
 ) -> DataFrame:
     """``keep`` columns and the generated ``raw_text`` of every sample with a ``prompt``.
 
     ``make_generator`` runs once per Python worker process and returns a function from a list of prompts to a list of
     texts.  Columns in ``keep`` travel along, so gold answers kept here need no join when scoring.
-    ``max_length`` cuts prompts to that many default tokens.
+    ``max_length`` cuts prompts to that many tokens, those of ``make_encoder`` if there is one.
     """
     keep = keep or [c for c in [*SAMPLE_KEY, *SAMPLE_INFO, "id"] if c in samples.columns]
-    prompt = F.col("prompt") if max_length is None else clip_tokens(F.col("prompt"), max_length)
+    prompt = clipped_prompt(max_length, make_encoder)
     rows = samples.select(*keep, prompt.alias("prompt"))
     if partitions:
         rows = rows.repartition(partitions, *[c for c in SAMPLE_KEY if c in keep])
-    run_id = uuid.uuid4().hex
+    model = Plugin(make_generator)
     schema = T.StructType([*samples.select(*keep).schema.fields, T.StructField("raw_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        generate = loaded(run_id, make_generator)
+        generate = model.get()
         for batch in batches:
             prompts = batch.column("prompt").to_pylist()
             texts: list[str] = []

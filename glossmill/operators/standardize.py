@@ -13,6 +13,9 @@ from glossmill.session import computed_once
 UNKNOWN_LABEL = "UNKNOWN"
 NO_INDEX = -1
 
+#: Why a line is no document.
+REASONS = ["not a JSON object", "entities is not a list of objects", "relations is not a list of objects"]
+
 
 def without_empty_ends(value: Column) -> Column:
     """A relation end that is a number zero, false, or an empty list or object counts as not given.
@@ -36,6 +39,13 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.filter(list_problem(F.col(value), F.col("record")).isNull())
 
 
+def mark_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Add ``record`` and ``reason``, which is NULL for lines of one JSON object with sound annotation lists; one parse."""
+    marked = computed_once(lines, "record", strict_object(without_empty_ends(F.col(value)), RAW_RECORD))
+    record = F.col("record")
+    return marked.withColumn("reason", F.when(record.isNull(), REASONS[0]).otherwise(list_problem(F.col(value), record)))
+
+
 def list_problem(value: Column, record: Column) -> Column:
     """Which annotation list is there but is not a list of objects; NULL if none.
 
@@ -46,8 +56,7 @@ def list_problem(value: Column, record: Column) -> Column:
         there = record[name].isNull() & value.contains(f'"{name}"')
         return F.when(there, F.coalesce(F.get_json_object(value, f"$.{name}"), F.lit("null")) != "null").otherwise(False)
 
-    return F.when(lost("entities"), "entities is not a list of objects").when(
-        lost("relations"), "relations is not a list of objects")
+    return F.when(lost("entities"), REASONS[1]).when(lost("relations"), REASONS[2])
 
 
 def _has_key(value: Column, record: Column, name: str) -> Column:
@@ -138,7 +147,12 @@ def standardize(lines: DataFrame, **more: Column) -> DataFrame:
     ``n_entities`` lets a later Parquet scan skip row groups by size; ``more`` are further columns made from the
     parsed ``record``.
     """
-    docs = clean_text(project_language(parse_lines(lines)))
+    return standardize_parsed(parse_lines(lines), **more)
+
+
+def standardize_parsed(parsed: DataFrame, **more: Column) -> DataFrame:
+    """The documents of lines with their ``record``."""
+    docs = clean_text(project_language(parsed))
     record = F.col("record")
     return (
         docs.withColumn("entities", parse_entities(record["entities"], F.col("language")))

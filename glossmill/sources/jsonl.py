@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from glossmill.functions.jsontext import strict_object
 from glossmill.functions.text import strip
-from glossmill.operators.standardize import list_problem, standardize
-from glossmill.schemas import LANGUAGE_HINTS, LINE, ORDER_KEY, RAW_RECORD
-from glossmill.session import computed_once, written
+from glossmill.operators.standardize import REASONS, mark_lines, standardize, standardize_parsed
+from glossmill.schemas import LANGUAGE_HINTS, LINE, ORDER_KEY
+from glossmill.session import released, scratch_path
+from glossmill.sources.answers import reachable
+from glossmill.sources.lines import SPLIT_BYTES, listing, scan_lines
+
+REPORT = "source string, reason string, n bigint"
 
 
 def check_hint(hint: str) -> str:
@@ -43,12 +47,14 @@ def with_order_key(lines: DataFrame, source_idx: int) -> DataFrame:
     )
 
 
+def trimmed(lines: DataFrame) -> DataFrame:
+    """The lines without white space around them, and without those of nothing else."""
+    return lines.withColumn("value", strip(F.col("value"))).filter(F.col("value") != "")
+
+
 def lines_of(keyed: DataFrame, source: str, hint: str) -> DataFrame:
     """Trimmed, non-blank lines labelled with their source and language hint."""
-    return keyed.select(
-        "source_idx", F.lit(source).alias("source"), F.lit(hint).alias("hint"),
-        "file", "block", "seq", strip(F.col("value")).alias("value"),
-    ).filter(F.col("value") != "")
+    return trimmed(keyed.select("source_idx", F.lit(source).alias("source"), F.lit(hint).alias("hint"), "file", "block", "seq", "value"))
 
 
 def read_jsonl(spark: SparkSession, path: str, source_idx: int = 0, hint: str = "auto") -> DataFrame:
@@ -58,32 +64,36 @@ def read_jsonl(spark: SparkSession, path: str, source_idx: int = 0, hint: str =
 
 
 def existing_sources(spark: SparkSession, entries: Iterable[tuple[str, str]]):
-    """Split ``(path, hint)`` entries into those that exist and those that do not."""
-    present, absent = [], []
-    for path, hint in entries:
-        check_hint(hint)
-        try:
-            spark.read.text(path)
-            present.append((path, hint))
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            absent.append((path, hint))
-    return present, absent
-
-
-def load_lines(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> DataFrame:
-    """All lines of all sources in listed order; an absent source contributes no rows."""
-    entries = list(entries)
-    present, _ = existing_sources(spark, entries)
-    parts = [
-        read_jsonl(spark, path, idx, hint)
-        for idx, (path, hint) in enumerate(entries)
-        if (path, hint) in present
-    ]
-    if not parts:
-        return spark.createDataFrame([], LINE)
-    return reduce(DataFrame.unionByName, parts)
+    """Split ``(path, hint)`` entries into those that exist and those that do not, by one listing where Python can list."""
+    entries = [(path, check_hint(hint)) for path, hint in entries]
+    if all(reachable(path) for path, _ in entries):
+        there = [found is not None for found in listing([path for path, _ in entries])]
+    else:
+        there = [_exists(spark, path) for path, _ in entries]
+    return [e for e, t in zip(entries, there) if t], [e for e, t in zip(entries, there) if not t]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+        return True
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def load_lines(spark: SparkSession, entries: Iterable[tuple[str, str]], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """All lines of all sources in listed order; an absent source contributes no rows.
+
+    One scan for all of them, with keys that are the same in every scan.  Stores that only Spark's readers can open
+    are read by those, with a scan for each source and keys that belong to one run of it.
+    """
+    entries = [(path, check_hint(hint)) for path, hint in entries]
+    if all(reachable(path) for path, _ in entries):
+        return trimmed(scan_lines(spark, entries, split_bytes))
+    parts = [read_jsonl(spark, path, idx, hint) for idx, (path, hint) in enumerate(entries) if _exists(spark, path)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LINE)
 
 
 def load_sources(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> DataFrame:
@@ -93,9 +103,7 @@ def load_sources(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> Dat
 
 def mark_malformed(lines: DataFrame) -> DataFrame:
     """Add ``reason``, NULL for lines that hold exactly one JSON object with sound annotation lists."""
-    marked = computed_once(lines, "_record", strict_object(F.col("value"), RAW_RECORD))
-    reason = F.when(F.col("_record").isNull(), "not a JSON object").otherwise(list_problem(F.col("value"), F.col("_record")))
-    return marked.withColumn("reason", reason).drop("_record")
+    return mark_lines(lines).drop("record")
 
 
 def split_malformed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,11 +119,46 @@ def line_report(lines: DataFrame) -> DataFrame:
 
 
 def load_report(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> DataFrame:
-    """The same for listed sources; one that does not exist has a row that says so."""
+    """The same for listed sources, without loading them; one that does not exist has a row that says so."""
+    entries = list(entries)
+    _, absent = existing_sources(spark, entries)
+    return line_report(load_lines(spark, entries)).unionByName(_missing(spark, absent))
+
+
+def load_into(lines: DataFrame, path: str, sources: list[str]) -> DataFrame:
+    """Write the documents of lines, and return what became of the lines, by source and reason.
+
+    The counts come from the same job: they are observed between the parse and the filter that drops damaged lines. An
+    observation is one row, so source and reason are counted as one number, by a histogram with a bin for each of them,
+    which makes its counts exact.
+    """
+    outcomes = ["loaded", *REASONS]
+    mark = F.array_position(F.array(*map(F.lit, REASONS)), F.coalesce("reason", F.lit("")))
+    number = F.col("source_idx") * len(outcomes) + mark
+    observed = Observation()
+    counts = F.histogram_numeric(number.cast("double"), F.lit(max(2, len(sources) * len(outcomes)))).alias("counts")
+    sound = mark_lines(lines).observe(observed, counts).filter(F.col("reason").isNull()).drop("reason")
+    standardize_parsed(sound).write.mode("errorifexists").parquet(path)
+    total: Counter[int] = Counter()
+    for bin in observed.get["counts"] or []:
+        total[round(bin["x"])] += round(bin["y"])
+    rows = [(sources[n // len(outcomes)], outcomes[n % len(outcomes)], count) for n, count in sorted(total.items())]
+    return lines.sparkSession.createDataFrame(rows, REPORT)
+
+
+def load_documents(spark: SparkSession, entries: Iterable[tuple[str, str]], path: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of all sources, written to ``path`` and read back, and the report of the same load.
+
+    Sources are read once and every line is parsed once.
+    """
     entries = list(entries)
     _, absent = existing_sources(spark, entries)
-    missing = spark.createDataFrame([(path, "path not found", 0) for path, _ in absent], "source string, reason string, n bigint")
-    return line_report(load_lines(spark, entries)).unionByName(missing)
+    report = load_into(load_lines(spark, entries), path, [source for source, _ in entries])
+    return spark.read.parquet(path), report.unionByName(_missing(spark, absent))
+
+
+def _missing(spark: SparkSession, absent: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(path, "path not found", 0) for path, _ in absent], REPORT)
 
 
 def source_counts(docs: DataFrame, *by: str) -> DataFrame:
@@ -144,8 +187,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, value: str = "value") -> None:
     """One line per row; the part files, in the order of their numbers, hold the rows in ``order``.
 
-    The rows are written first, since the sort reads its input twice.
+    The rows are written first, since the sort reads its input twice, and deleted afterwards.
     """
     keys = order or ORDER_KEY
-    rows = written(df.select(*keys, F.col(value).alias("_line")), "lines")
-    rows.orderBy(*keys).select(F.col("_line").alias("value")).write.text(path)
+    spark, copy = df.sparkSession, scratch_path(df.sparkSession, "lines")
+    lines = df.select(*keys, F.col(value).alias("_line"))
+    try:
+        lines.write.parquet(copy)
+        rows = spark.read.schema(lines.schema).parquet(copy)
+        rows.orderBy(*keys).select(F.col("_line").alias("value")).write.text(path)
+    finally:
+        released(spark, copy)
