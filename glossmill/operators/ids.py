@@ -4,41 +4,117 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from glossmill.schemas import SAMPLE_KEY, SAMPLE_ORDER
 from glossmill.session import written
 
-_SLOT_BITS = 33
+#: Sampled keys for each range border, as Spark draws for a range shuffle.
+PER_BORDER = 20
+#: Rows that are sorted at once when a border is looked for.
+FEW = 20_000
+
+
+def borders(keys: DataFrame, order: list[str], ranges: int) -> list[Row]:
+    """Keys that cut the rows into about equal ranges, from a sample of bounded size."""
+    n = keys.count()
+    share = min(1.0, 1.5 * PER_BORDER * ranges / max(n, 1))
+    some = keys.select(*order).sample(share, 17) if share < 1 else keys.select(*order)
+    drawn = some.orderBy(*order).collect()
+    return [drawn[i] for i in sorted({len(drawn) * k // ranges for k in range(1, ranges)}) if drawn]
+
+
+def _least(schema, order: list[str], cut: Row) -> Column:
+    return F.struct(*[F.lit(cut[c]).cast(schema[c].dataType).alias(c) for c in order])
+
+
+def range_of(df: DataFrame, order: list[str], cuts: list[Row]) -> Column:
+    """How many of the ascending cuts are not greater than a row's key.
+
+    Looked up in two steps, first among every so many cuts and then among those behind the one found, so that a row is
+    compared with about the square root of them.
+    """
+    if not cuts:
+        return F.lit(0)
+    width = max(1, round(len(cuts) ** 0.5))
+    limits = [_least(df.schema, order, c) for c in cuts]
+    key = F.struct(*order)
+    not_above = lambda c: c <= key
+    coarse = F.array(*limits[::width])
+    fine = F.array(*[F.array(*limits[i : i + width]) for i in range(0, len(limits), width)])
+    group = F.size(F.filter(coarse, not_above))
+    inside = F.size(F.filter(F.get(fine, group - 1), not_above))
+    return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
+
+
+def _counts(keys: DataFrame, order: list[str], cuts: list[Row]) -> list[int]:
+    """Exact number of rows in each range."""
+    found = keys.select(range_of(keys, order, cuts).alias("_range")).groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = [0] * (len(cuts) + 1)
+    for row in found:
+        counts[row["_range"]] = row["n"]
+    return counts
+
+
+def _numbered(rows: DataFrame, order: list[str], cuts: list[Row], starts: list[int], name: str) -> DataFrame:
+    """rows with ``_range`` and their rank: the start of their range and their place in it; one shuffle, by range."""
+    offsets = rows.sparkSession.createDataFrame(list(enumerate(starts)), "_range int, _start bigint")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranged = rows.withColumn("_range", range_of(rows, order, cuts).cast("int")).withColumn("_place", place)
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_start", "_place")
+
+
+def _ranges(df: DataFrame) -> int:
+    """Ranges to cut into: several for each shuffle partition, which then holds about as many rows as the others."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_dense_id(df: DataFrame, order: list[str] | None = None, name: str = "id") -> DataFrame:
     """Add 0..n-1 in ``order``, which must not have ties.
 
-    The rows are written first: a range shuffle reads its input twice, once to draw the borders, and must not
-    compute it twice.  The shuffle puts them in order over many partitions.  The result is written to a table,
-    since a second run of the shuffle could draw other range borders.  Only the partition sizes, one
-    number per partition, visit the driver; the table they come back as is that small too.
+    The rows are written once, since they are read more than once and must not be computed again.  Their keys alone are
+    read to draw range borders and to count each range exactly; the rows then move once, to their range, and are
+    numbered from its start.  An id depends on the keys only, not on the borders drawn, so no second copy is needed to
+    fix it.  One number per range visits the driver; the table they come back as is that small too.
     """
     order = order or SAMPLE_ORDER
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = written(df, "rows").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    kept = written(sorted_rows.withColumn("_slot", F.monotonically_increasing_id()), "ordered")
-
-    part = F.shiftright("_slot", _SLOT_BITS)
-    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
-    starts = accumulate((r["n"] for r in sizes), initial=0)
-    offsets = spark.createDataFrame(
-        [(r["_part"], start) for r, start in zip(sizes, starts)], "_part bigint, _start bigint"
-    )
-    inside = F.col("_slot") - F.shiftleft(F.col("_part"), _SLOT_BITS)
-    return (
-        kept.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_start") + inside)
-        .drop("_part", "_start", "_slot")
-    )
+    rows = written(df, "rows")
+    cuts = borders(rows, order, _ranges(df))
+    starts = list(accumulate(_counts(rows, order, cuts), initial=0))[:-1]
+    return _numbered(rows, order, cuts, starts, name).drop("_range")
+
+
+def with_aligned_id(df: DataFrame, order: list[str], batch: int, name: str = "id") -> DataFrame:
+    """As ``with_dense_id``, with ``_range``: rows of a range are in one partition, and no ``batch`` of ids is in two.
+
+    The keys are ranked on their own first, and those at multiples of the batch become the borders.
+    """
+    rows = written(df, "rows")
+    keys = rows.select(*order)
+    cuts = borders(keys, order, _ranges(df))
+    counts = _counts(keys, order, cuts)
+    starts = list(accumulate(counts, initial=0))
+    every = batch * max(1, -(-starts[-1] // (batch * _ranges(df))))
+    ranked = _numbered(keys, order, cuts, starts[:-1], "_rank")
+    exact = ranked.filter((F.col("_rank") % every == 0) & (F.col("_rank") > 0)).select(*order, "_rank").collect()
+    exact.sort(key=lambda r: r["_rank"])
+    return _numbered(rows, order, exact, [0, *(r["_rank"] for r in exact)], name)
+
+
+def kth_key(keys: DataFrame, order: list[str], k: int) -> Row:
+    """The key with exactly k smaller ones, of keys without ties; k is less than their number.
+
+    Borders from a sample cut the keys into ranges, which are counted exactly; the search goes on in the range that
+    holds the k-th, until it is few.  Nothing is shuffled but counts.
+    """
+    while True:
+        cuts = borders(keys, order, 64)
+        counts = _counts(keys, order, cuts)
+        starts = list(accumulate(counts, initial=0))
+        at = max(i for i in range(len(counts)) if starts[i] <= k and counts[i])
+        keys, k, n = keys.filter(range_of(keys, order, cuts) == at), k - starts[at], counts[at]
+        if n <= FEW:
+            return keys.orderBy(*order).limit(k + 1).collect()[k]
 
 
 def shard(df: DataFrame, n_shards: int, index: int, total: int, id_col: str = "id") -> DataFrame:
@@ -67,21 +143,18 @@ def subset_size(n: int, size: int | float | None) -> int:
 def head_subset(df: DataFrame, size: int | float | None, order: list[str] | None = None) -> DataFrame:
     """The first rows in ``order``, which must not have ties.
 
-    Only the order columns are sorted, to find the last row that belongs; the rows themselves are then
-    filtered where they are.
+    The key of the last row that belongs is found by selection; the rows are then filtered where they are.  ``df`` is
+    read several times, its keys only, so it should be a stored table.
     """
     order = order or SAMPLE_ORDER
     n = df.count()
     k = subset_size(n, size)
     if k == n:
         return df
-    keys = df.select(*order)
-    last = with_dense_id(keys, order, "_rank").filter(F.col("_rank") == k - 1).first()
-    limit = {c: F.lit(last[c]).cast(keys.schema[c].dataType) for c in order}
+    last = kth_key(df.select(*order), order, k - 1)
     lead = order[0]
-    return df.filter(
-        (F.col(lead) <= limit[lead]) & (F.struct(*order) <= F.struct(*[limit[c].alias(c) for c in order]))
-    )
+    first_of = F.lit(last[lead]).cast(df.schema[lead].dataType)
+    return df.filter((F.col(lead) <= first_of) & (F.struct(*order) <= _least(df.schema, order, last)))
 
 
 def step_budget(df: DataFrame, batch: int, accum: int, epochs: int, ratio: float) -> DataFrame:

@@ -55,6 +55,17 @@ def _finish(totals: DataFrame, *prefixes: str) -> DataFrame:
     return totals.select(*out)
 
 
+def total(scores: DataFrame) -> DataFrame:
+    """One row of scores from several, by the sums of their counts."""
+    prefixes = [c.removesuffix("_tp") for c in scores.columns if c.endswith("_tp")]
+    sums = scores.agg(*[F.coalesce(F.sum(f"{p}_{n}"), F.lit(0)).alias(f"{p}_{n}") for p in prefixes for n in ("tp", "fp", "fn")])
+    out = []
+    for p in prefixes:
+        columns = prf(*(F.col(f"{p}_{n}") for n in ("tp", "fp", "fn")), p)
+        out += [c.alias(f"{p}_{n}") for c, n in zip(columns[:3], ("tp", "fp", "fn"))] + columns[3:]
+    return sums.select(*out)
+
+
 def ner_metrics(aligned: DataFrame, pred: str = "pred_ner", gold: str = "gold_ner") -> DataFrame:
     """Entity precision, recall and F1 over (label, normalised term) sets."""
     return _finish(aligned.agg(*set_counts(aligned, pred, gold, "ner")), "ner")

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glossmill.functions.chat import TURN_END, chat_full, chat_prompt, chat_turn, open_turn
-from glossmill.operators.ids import with_dense_id
+from glossmill.operators.ids import with_aligned_id
+from glossmill.operators.plugins import Plugin, clipped
+from glossmill.schemas import SAMPLE_ORDER
 
 # The label the loss skips.
 IGNORE = -100
@@ -37,17 +39,31 @@ def hashed_ids(token_array: Column, vocabulary: int = VOCABULARY) -> Column:
 
 
 def encoder_udf(make_encoder: Callable[[], Encoder]):
-    """A tokenizer of the caller as an Arrow batch function, built once per worker."""
+    """A tokenizer of the caller as an Arrow batch function, made once per worker process.  A null text has no tokens."""
+    plugin = Plugin(make_encoder)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = make_encoder()
+        encoder = plugin.get()
         for texts in batches:
-            yield pd.Series(encoder(texts.tolist()), index=texts.index)
+            yield pd.Series(encoder(["" if t is None else t for t in texts]), index=texts.index, dtype=object)
 
     return encode
 
 
+def clip_by_encoder(text: Column, most: int, make_encoder: Callable[[], Encoder]) -> Column:
+    """The text up to the end of its token number ``most``, as the caller's tokenizer counts; it has to tell spans."""
+    plugin = Plugin(make_encoder)
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = plugin.get()
+        for texts in batches:
+            yield pd.Series(clipped(encoder, ["" if t is None else t for t in texts], most), index=texts.index, dtype=object).where(texts.notna(), None)
+
+    return cut(text)
+
+
 def tokenize(
     df: DataFrame,
     col: str,
@@ -142,13 +158,15 @@ def pad_batches(rows: DataFrame, batch_size: int, pad_id: int = 0, id_col: str =
                 order: list[str] | None = None) -> DataFrame:
     """Consecutive rows in batches, every array padded to the longest of its batch.
 
-    A batch is one window group and never holds more than ``batch_size`` rows.
+    Rows without an id get one in ``order``.  They move once: the ranges they are ranked in end where batches end, so a
+    batch is whole in its partition.  A batch is one window group and never holds more than ``batch_size`` rows.
     """
-    if id_col not in rows.columns:
-        rows = with_dense_id(rows, order, id_col)
+    ranked = id_col in rows.columns
+    if not ranked:
+        rows = with_aligned_id(rows, order or SAMPLE_ORDER, batch_size, id_col)
     fillers = {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE}
     batch = F.floor(F.col(id_col) / batch_size).cast("bigint")
-    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch"))
-    sized = rows.withColumn("batch", batch).withColumn("width", width)
-    others = [c for c in sized.columns if c not in fillers]
+    group = ["batch"] if ranked else ["_range", "batch"]
+    sized = rows.withColumn("batch", batch).withColumn("width", F.max(F.size("input_ids")).over(Window.partitionBy(*group)))
+    others = [c for c in sized.columns if c not in fillers and c != "_range"]
     return sized.select(*others, *[_padded(c, F.col("width"), v) for c, v in fillers.items() if c in rows.columns])

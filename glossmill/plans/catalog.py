@@ -13,6 +13,7 @@ from glossmill.functions.matching import pair_label
 from glossmill.functions.text import normalize_term, words
 from glossmill.ontology import Ontology
 from glossmill.operators import scoring
+from glossmill.operators.conversations import conversations
 from glossmill.operators.ids import head_subset, pending, shard_of, step_budget, with_dense_id
 from glossmill.operators.inference import parse_predictions, predict, with_prompt
 from glossmill.operators.pairs import entity_pairs, mark_pairs
@@ -21,16 +22,17 @@ from glossmill.operators.standardize import (
     clean_text, parse_lines, project_language, relation_endpoints, standardize, mentions_with_spans,
 )
 from glossmill.operators.tokens import (
-    MAX_LENGTH, clip_tokens, instruction_prompt_length, instruction_tokens, pad_batches, token_lengths, tokenize, tokens,
+    MAX_LENGTH, clip_by_encoder, clip_tokens, instruction_prompt_length, instruction_tokens, pad_batches, token_lengths, tokenize, tokens,
 )
 from glossmill.plans import annotated as A
-from glossmill.plans.workflow import finish
+from glossmill.plans.workflow import finish, run_inference
 from glossmill.schemas import ORDER_KEY, PAIR_POS, RECORD_KEY, SAMPLE_KEY
 from glossmill.session import scratch_path, written
 from glossmill.sources.jsonl import (
-    line_report, read_jsonl, read_predictions, source_counts, split_malformed, with_order_key, write_jsonl, write_predictions,
+    load_into, read_jsonl, read_predictions, source_counts, split_malformed, with_order_key, write_jsonl, write_predictions,
 )
-from glossmill.streaming.predict import predict_stream
+from glossmill.sources.lines import scan_lines
+from glossmill.streaming.predict import predict_stream, running_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +40,8 @@ QUERIES: dict[str, Query] = {}
 SHARDS = 7
 BATCH = 16
 DOC_ORDER = ["source_idx", "seq"]
+SMALL_SPLIT = 1 << 18
+CLIP = 8
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -85,8 +89,9 @@ def well_formed_lines(spark, sf):
 
 @query("load_report")
 def load_report(spark, sf):
-    """Loaded and damaged lines of two sources by reason."""
-    return line_report(A.damaged_lines(spark, sf).unionByName(A.benchmark_lines(spark, sf)))
+    """Loaded and damaged lines of two sources by reason, observed while their documents are written."""
+    lines = A.damaged_lines(spark, sf).unionByName(A.benchmark_lines(spark, sf))
+    return load_into(lines, scratch_path(spark, "loaded"), ["documents", "benchmark"])
 
 
 @query("union_sources")
@@ -100,8 +105,8 @@ def order_key(spark, sf):
     """Lines written in order, read back by many tasks, numbered by their order key."""
     path = scratch_path(spark, "ordered")
     write_jsonl(_docs(spark, sf).select(*DOC_ORDER, F.col("doc_id").alias("value")), path, DOC_ORDER)
-    lines = with_order_key(spark.read.text(path), 0)
-    return with_dense_id(lines, ORDER_KEY, "line_no").select("line_no", F.col("value").alias("doc_id"))
+    lines = scan_lines(spark, [(path, "auto")], SMALL_SPLIT)
+    return with_dense_id(lines.drop("source", "hint"), ORDER_KEY, "line_no").select("line_no", F.col("value").alias("doc_id"))
 
 
 @query("source_counts")
@@ -132,8 +137,8 @@ def final_jsonl(spark, sf):
     """The final prediction file, read back line by line with line numbers."""
     path = scratch_path(spark, "final")
     write_jsonl(A.joint_predictions(_docs(spark, sf)), path, DOC_ORDER, "stored")
-    lines = with_order_key(spark.read.text(path), 0)
-    return with_dense_id(lines, ORDER_KEY, "line_no").select("line_no", "value")
+    lines = scan_lines(spark, [(path, "auto")])
+    return with_dense_id(lines.drop("source", "hint"), ORDER_KEY, "line_no").select("line_no", "value")
 
 
 @query("final_pairs")
@@ -340,6 +345,12 @@ def chat_turns(spark, sf):
     return turns.select("conv_id", "turn", chat_turn(F.col("role"), F.col("text")).alias("rendered"))
 
 
+@query("conversations")
+def whole_conversations(spark, sf):
+    """Every conversation as one text."""
+    return conversations(A.table(spark, sf, "conversations"))
+
+
 @query("causal_prompt")
 def causal_prompts(spark, sf):
     rows = build_samples(_docs(spark, sf), "causal", *MODES["joint"])
@@ -362,6 +373,16 @@ def tokenized(spark, sf):
     return rows.select("seq", F.size("input_ids").alias("n_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
 
 
+@query("encoder_ids")
+def encoder_ids(spark, sf):
+    """Ids by a tokenizer of the caller's, and every sentence cut behind its token number ``CLIP``."""
+    rows = tokenize(A.sentences(spark, sf).select("seq", "sentence"), "sentence", make_encoder=A.word_encoder(), keep=["seq", "sentence"])
+    return rows.select(
+        "seq", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("ids"),
+        clip_by_encoder(F.col("sentence"), CLIP, A.word_encoder()).alias("clipped"),
+    )
+
+
 @query("prompt_lengths")
 def prompt_lengths(spark, sf):
     return instruction_prompt_length(_instructions(spark, sf)).select("seq", "prompt_length")
@@ -437,6 +458,16 @@ def predict_stub(spark, sf):
     return answers.select("seq", "malformed", "stored")
 
 
+@query("durable_predict")
+def durable_predict(spark, sf):
+    """Two runs of the durable job: for sentences with entities, then for all, which asks for the others only."""
+    docs, path = _stored(spark, sf), scratch_path(spark, "answers")
+    samples = build_samples(docs, "instruction", "ner_only")
+    some = build_samples(docs.filter(F.col("n_entities") > 0), "instruction", "ner_only")
+    run_inference(some, A.stub_model(), path, 16, max_length=None)
+    return run_inference(samples, A.stub_model(), path, 16, max_length=None).select("seq", "malformed", "stored")
+
+
 @query("parse_predictions")
 def parse_predictions_rows(spark, sf):
     preds = A.joint_predictions(_docs(spark, sf))
@@ -470,6 +501,30 @@ def stream_scores(spark, sf):
     return scoring.evaluate(spark.read.parquet(target), spark.read.parquet(docs), "ner_only")
 
 
+def _stream_twice(spark, sf):
+    """Every line arrives twice, in files of two runs of a stream that keeps state: its answers and its scores."""
+    source, target, state, scores = (scratch_path(spark, f"resent-{n}") for n in ("in", "out", "state", "scores"))
+    for _ in range(2):
+        A.raw_lines(spark, sf).select("value").write.mode("append").text(source)
+        run = predict_stream(spark, source, target, state, A.stub_model(), batch_size=16, resent_within="30 days", scores=scores)
+        run.awaitTermination()
+        if run.exception() is not None:
+            raise run.exception()
+    return target, scores
+
+
+@query("stream_resent")
+def stream_resent(spark, sf):
+    """Lines that are sent again are answered once."""
+    return spark.read.parquet(_stream_twice(spark, sf)[0]).select("doc_id", "malformed", "stored")
+
+
+@query("stream_running_scores")
+def stream_running_scores(spark, sf):
+    """The sums of what the micro-batches scored."""
+    return running_scores(spark, _stream_twice(spark, sf)[1])
+
+
 # ---- scoring ----------------------------------------------------------------------------------
 
 @query("regroup_pairs")

@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from glossmill.functions.text import strip
+from glossmill.operators import scoring
 from glossmill.operators.inference import SAMPLE_INFO, Generator, parse_predictions, predict, with_prompt
 from glossmill.operators.render import build_samples
 from glossmill.operators.standardize import standardize
+from glossmill.operators.tokens import Encoder
 from glossmill.schemas import ORDER_KEY, PAIR_POS
+from glossmill.session import released, scratch_path
 from glossmill.sources.jsonl import check_hint, lines_of, with_order_key
 
 
+def first_arrivals(lines: DataFrame, within: str) -> DataFrame:
+    """A stream of lines without those that came before, compared without the white space around them.
+
+    The state store holds a digest of each line until ``within`` has passed since it came.  Time is the time of arrival,
+    so no line is ever late, however old its file.
+    """
+    marked = lines.withColumn("arrived", F.current_timestamp()).withColumn("digest", F.sha2(strip(F.col("value")), 256))
+    return marked.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["digest"]).drop("arrived", "digest")
+
+
 def predict_stream(
     spark: SparkSession,
     source: str,
@@ -26,7 +40,12 @@ def predict_stream(
     hint: str = "auto",
     batch_size: int = 4,
     files_per_trigger: int = 1000,
+    file_age: str = "36500d",
     documents: str | None = None,
+    resent_within: str | None = None,
+    scores: str | None = None,
+    max_length: int | None = None,
+    make_encoder: Callable[[], Encoder] | None = None,
 ) -> StreamingQuery:
     """Process every file that has arrived since the last run and stop.
 
@@ -35,22 +54,42 @@ def predict_stream(
     neither loses nor repeats a line.  A micro-batch counts as one source, which keeps keys unique; with
     ``documents`` its standardised documents are written there under the same keys, to score against.  A backlog is
     worked off in micro-batches of ``files_per_trigger`` files.
+
+    With ``resent_within``, such as "30 days", a line that was sent again within that time after it first came is not
+    generated again; the stream keeps a digest of each line for that long.  With ``scores``, each micro-batch writes
+    its counts of right and wrong answers there; ``running_scores`` adds them up.
     """
     check_hint(hint)
-    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger)
+    # Spark passes over files that are a week older than the newest one it has seen; here an old file may come late.
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).option("maxFileAge", file_age)
     keep = [*ORDER_KEY, *PAIR_POS, *SAMPLE_INFO]
 
     def write_batch(lines: DataFrame, batch_id: int) -> None:
         docs = standardize(lines_of(with_order_key(lines, batch_id), source, hint))
-        if documents:
-            path = f"{documents}/batch={batch_id}"
-            docs.write.mode("overwrite").parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
+        copy = f"{documents}/batch={batch_id}" if documents else scratch_path(spark, "batch") if scores or resent_within else None
+        if copy:  # a stream's batch is read once: state is kept by that run, and keys are fixed
+            docs.write.mode("overwrite").parquet(copy)
+            docs = spark.read.schema(docs.schema).parquet(copy)
         samples = with_prompt(build_samples(docs, format, task, re_mode))
-        answers = parse_predictions(predict(samples, make_generator, batch_size, keep))
-        answers.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        answers = parse_predictions(predict(samples, make_generator, batch_size, keep, None, max_length, make_encoder))
+        path = f"{target}/batch={batch_id}"
+        answers.write.mode("overwrite").parquet(path)
+        if scores:
+            answered = spark.read.schema(answers.schema).parquet(path)
+            scoring.evaluate(answered, docs, task, re_mode).write.mode("overwrite").parquet(f"{scores}/batch={batch_id}")
+        if copy and not documents:
+            released(spark, copy)
 
+    lines = reader.load(source).select("value", "_metadata")
+    if resent_within:
+        lines = first_arrivals(lines, resent_within)
     return (
-        reader.load(source).select("value", "_metadata").writeStream.foreachBatch(write_batch)
+        lines.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def running_scores(spark: SparkSession, scores: str) -> DataFrame:
+    """Scores over all micro-batches so far, from the sums of their counts."""
+    rows = spark.read.parquet(scores).drop("batch")
+    return scoring.total(rows)
