@@ -11,6 +11,11 @@ from glossmill.llm.induced import KEPT, RESULTS, suffix_dedup
 from glossmill.llm.packing import packed, pieces
 from glossmill.llm.simhash import one_of_each
 
+#: Shortest repeated string that goes. Of the passages of over 50 words that stand in several documents, 400 bytes find
+#: 61 % on sf0.1 after the near-dedup (851 of 2,159 are shorter), 300 find 97 %, 250 find 99.4 %; of the documents without
+#: such a passage 250 touch 2.5 %, and take 0.8 % of their bytes.
+REPEAT_BYTES = 250
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from those of them that are labelled."""
@@ -27,7 +32,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that occur more than once. A text of nothing else is left empty."""
     docs, back = set_aside(docs, [*RESULTS, *KEPT, *KEYS, "stretches"])
-    return with_text(suffix_dedup(docs, with_kept=True).select(*docs.columns, "kept"), F.col("kept")).select(*back)
+    return with_text(suffix_dedup(docs, with_kept=True, window=REPEAT_BYTES).select(*docs.columns, "kept"), F.col("kept")).select(*back)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,9 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-#: SQL can express neither the classifier nor the packing; the stages are tested against brute force instead.
+#: SQL can express neither the classifier nor the packing. tests/llm/test_pipeline.py holds the near-dedup, repeat and
+#: benchmark stages against plain models of all pairs and all windows, the classifier against labels, and the packing
+#: against the least number of sequences.
 ORACLE_SQL = None
 
 
