@@ -6,8 +6,10 @@ the minimum-covariance-determinant estimate of centre and scatter is found by co
 current estimate, the nearest share of the rows, their moments, and again. A document too far from its group's centre
 by Mahalanobis distance is rejected. The steps start from the medians and go on until no group's determinant falls.
 
-All group figures are sums and percentile sketches, combined before the shuffle, so a group may hold any share of the
-rows. Null text: no words. Null lang or source: a group of its own. Small groups and constant statistics: the scatter
+All group figures are sums and percentile sketches, combined before the shuffle, and what a row needs of its group's
+comes to the row, so a group may hold any share of the rows. Very long texts are counted whole, in their row. At equal
+distance to the nearest share's edge, all rows belong to it. Columns other than doc_id, text, lang and source are
+ignored, whatever their names. Null text: no words. Null lang or source: a group of its own. Small groups and constant statistics: the scatter
 is drawn towards that of ``prior`` rows of unit spread, and no spread counts as less than the floor of its statistic.
 Repeated rows get equal verdicts. An empty table gives no rows.
 """
@@ -29,6 +31,8 @@ GROUP = ["group_lang", "group_source"]
 FLOORS = {"log_words": 0.5, "word_length": 0.5, "symbol_share": 0.5, "dup_line_root": 0.12, "repeat_share": 0.06}
 #: Fixed values for five statistics and three quarters of the rows: scatter of the nearest rows to scatter of all.
 SHARE, CONSISTENCY = 0.75, 1.41
+MOST_GROUPS = 20_000  # of which the figures, some 200 bytes each, are broadcast
+SALTS = 16
 
 
 def repeat_words(words: Column) -> Column:
@@ -88,6 +92,18 @@ def transformed(counts: DataFrame) -> DataFrame:
     })
 
 
+def with_group(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """rows with the figures of their group, a stored table of one row for each group.
+
+    Few groups are broadcast, so that the rows stay where they are. Many are joined by group and salt, so that a group
+    with a large share of the rows is spread.
+    """
+    if figures.count() <= MOST_GROUPS:
+        return rows.join(F.broadcast(figures), GROUP)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(figures.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*GROUP, "salt"]).drop("salt")
+
+
 def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their group's centre."""
     solved: list[Column] = []
@@ -96,7 +112,7 @@ def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         for j in range(i):
             left = left - F.col(f"l{i}{j}") * solved[j]
         solved.append(left / F.col(f"l{i}{i}"))
-    return rows.join(estimates, GROUP).withColumn("d2", sum((y * y for y in solved), F.lit(0.0)))
+    return with_group(rows, estimates).withColumn("d2", sum((y * y for y in solved), F.lit(0.0)))
 
 
 def factored(moments: DataFrame, prior: float) -> DataFrame:
@@ -137,20 +153,21 @@ def outlier_rules(docs: DataFrame, steps: int = 100, cutoff: float = 40.0, prior
     unit = quartiles.select(*GROUP, *(F.col(f"q{i}")[1].alias(f"c{i}") for i in p), *(
         F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floor)).alias(f"u{i}")
         for i, floor in enumerate(FLOORS.values())))
-    scaled = stored(passed.join(unit, GROUP).select(*GROUP, "doc_id", *COUNTS, *(
+    unit = stored(unit, "units")
+    scaled = stored(with_group(passed, unit).select(*GROUP, "doc_id", *COUNTS, *(
         ((F.col(x) - F.col(f"c{i}")) / F.col(f"u{i}")).alias(f"z{i}") for i, x in enumerate(FLOORS))), "scaled")
-    floors = unit.select(*GROUP, *((F.lit(floor) / F.col(f"u{i}")).alias(f"f{i}") for i, floor in enumerate(FLOORS.values())))
+    floors = stored(unit.select(*GROUP, *((F.lit(floor) / F.col(f"u{i}")).alias(f"f{i}") for i, floor in enumerate(FLOORS.values()))), "floors")
     identity = {"half_log_det": F.lit(0.0)} | {f"m{i}": F.lit(0.0) for i in p} | {f"l{i}{j}": F.lit(float(i == j)) for i in p for j in range(i + 1)}
-    estimates = scaled.select(*GROUP).distinct().withColumns(identity)
+    estimates = unit.select(*GROUP).withColumns(identity)
     for step in range(steps):
         near = with_distance(scaled, estimates)
-        edge = near.groupBy(*GROUP).agg(F.percentile_approx("d2", SHARE, 1000).alias("edge"))
-        subset = near.join(edge, GROUP).filter("d2 <= edge")
+        edge = stored(near.groupBy(*GROUP).agg(F.percentile_approx("d2", SHARE, 1000).alias("edge")), "edges")
+        subset = with_group(near, edge).filter("d2 <= edge")
         moments = subset.groupBy(*GROUP).agg(
             F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"s{i}") for i in p),
             *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i in p for j in range(i + 1)))
-        before, estimates = estimates, stored(factored(moments.join(floors, GROUP), prior), "estimates")
-        change = before.select(*GROUP, F.col("half_log_det").alias("old")).join(estimates, GROUP)
+        before, estimates = estimates, stored(factored(with_group(moments, floors), prior), "estimates")
+        change = with_group(before.select(*GROUP, F.col("half_log_det").alias("old")), estimates)
         # The first step leaves the unit scatter, so its determinant may also rise.
         if step and not (change.agg(F.max(F.col("old") - F.col("half_log_det"))).first()[0] or 0) > 1e-3:
             break

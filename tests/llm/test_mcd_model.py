@@ -1,0 +1,107 @@
+"""Distances and verdicts of the quality rules against the same estimate in numpy, group by group."""
+
+import math
+
+import numpy as np
+import pytest
+from llm_tables import *  # noqa: F403
+from pyspark.sql import functions as F
+
+from glossmill.llm import outlier_rules as rules
+
+
+def quantile(values, share):
+    """The value at the rank that a percentile sketch of few values gives."""
+    return np.sort(values)[max(0, math.ceil(share * len(values)) - 1)]
+
+
+def statistics(row):
+    n = max(row.n_words, 1)
+    return [math.log1p(row.n_words), row.word_chars / n, math.log1p(1000 * row.n_symbols / max(row.word_chars, 1)),
+            math.sqrt(row.n_dup_lines / max(row.n_lines, 1)), row.n_repeat_words / n]
+
+
+def factor(scatter, floor):
+    """Lower triangular factor, with the least spread of each statistic and a tenth of it behind the others."""
+    root = np.zeros_like(scatter)
+    for i in range(len(scatter)):
+        for j in range(i):
+            root[i, j] = (scatter[i, j] - root[i, :j] @ root[j, :j]) / root[j, j]
+        root[i, i] = math.sqrt(max(max(scatter[i, i], floor[i] ** 2) - root[i, :i] @ root[i, :i], 0.01 * floor[i] ** 2))
+    return root
+
+
+def distances(groups, prior=20.0, share=rules.SHARE):
+    """Squared distances of every group's rows; all groups step until no determinant falls."""
+    floors = np.array(list(rules.FLOORS.values()))
+    state = {}
+    for key, x in groups.items():
+        low, mid, high = (np.array([quantile(c, q) for c in x.T]) for q in (0.25, 0.5, 0.75))
+        unit = np.maximum((high - low) / 1.349, floors)
+        state[key] = [(x - mid) / unit, floors / unit, np.zeros(5), np.eye(5), 0.0]
+    away = lambda z, centre, root: (np.linalg.solve(root, (z - centre).T) ** 2).sum(axis=0)
+    for step in range(100):
+        fall = []
+        for s in state.values():
+            z, floor, centre, root, old = s
+            d2 = away(z, centre, root)
+            near = z[d2 <= quantile(d2, share)]
+            centre = near.mean(axis=0)
+            scatter = (rules.CONSISTENCY * (near.T @ near - len(near) * np.outer(centre, centre)) + prior * np.eye(5)) / (len(near) + prior)
+            root = factor(scatter, floor)
+            s[2:] = centre, root, np.log(np.diag(root)).sum()
+            fall.append(old - s[4])
+        if step and max(fall) <= 1e-3:
+            break
+    return {key: away(z, centre, root) for key, (z, _, centre, root, _) in state.items()}
+
+
+def compare(docs):
+    counts = rules.text_counts(docs).collect()
+    passed = [r for r in counts if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
+    groups = {}
+    for r in passed:
+        groups.setdefault((r.lang, r.source), []).append(r)
+    found = distances({k: np.array([statistics(r) for r in g]) for k, g in groups.items()})
+    expected = {r.doc_id: d for k, g in groups.items() for r, d in zip(g, found[k])}
+    rows = rules.outlier_rules(docs).collect()
+    assert {r.doc_id for r in rows if not r.base_failed} == set(expected) and len(rows) == len(counts)
+    for r in rows:
+        if r.base_failed:
+            assert r.distance2 is None and not r.kept
+        else:
+            assert r.distance2 == pytest.approx(expected[r.doc_id], rel=1e-6, abs=1e-9) and r.kept == (expected[r.doc_id] <= 40.0)
+    return expected
+
+
+def test_given_documents(sample):
+    expected = compare(sample("documents"))
+    assert len(expected) > 100
+
+
+def test_groups_of_all_sizes(make_docs):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(int(rng.integers(50, 250))) + " #" * int(rng.integers(0, 6)), lang, "s") for i, lang in enumerate(["en"] * 150 + ["de"] * 9 + ["x"] + [None] * 4)]
+    rows += [(1000, text(60) + " |" * 60, "en", "s")]
+    assert compare(make_docs(rows))[1000] > 40
+
+
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_many_groups_are_joined_by_salt_with_the_same_result(make_docs, monkeypatch, most):
+    monkeypatch.setattr(rules, "MOST_GROUPS", most)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(str(x) for x in rng.integers(0, 10**6, 80)), "en" if i % 3 else "de", "s") for i in range(60)]
+    compare(make_docs(rows))
+
+
+def test_no_join_deals_the_rows_by_group(sample):
+    text = rules.outlier_rules(sample("documents"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_awkward_rows_and_columns_of_taken_names(awkward):
+    odd = awkward.withColumns({c: F.lit("x") for c in ("words", "group_lang", "kept", "d2", "n_words", "z0", "salt", "edge")})
+    plain = lambda df: sorted(map(str, rules.outlier_rules(df).collect()))
+    assert plain(odd) == plain(awkward)
