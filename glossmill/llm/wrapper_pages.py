@@ -19,12 +19,12 @@ table gives no rows. Only page_id, url and html are read.
 from __future__ import annotations
 
 import itertools
-import math
 import re
 from collections import Counter
 from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -101,6 +101,7 @@ class TreeBuilder(HTMLParser):
         self.open: list[tuple[str, Element, bool]] = [("#root", self.root, False)]  # tag, its block, silent
         self.pieces: list[str] = []
         self.linked = 0
+        self.links: list[int] = []  # places in ``open`` of the links that are open, one at most
         self.title: str | None = None
 
     def flush(self) -> None:
@@ -114,6 +115,7 @@ class TreeBuilder(HTMLParser):
         if any(block.tag == tag for tag, block, _ in self.open[at:]):
             self.flush()
         del self.open[at:]
+        self.links = [place for place in self.links if place < at]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -136,6 +138,8 @@ class TreeBuilder(HTMLParser):
             block = child
         elif tag in ("td", "th"):
             self.pieces.append(" ")
+        if tag == "a":  # a link ends the one before it; an anchor without a target is no link
+            self.links = [len(self.open)] if attrs.get("href") is not None else []
         if tag not in VOID:
             self.open.append((tag, block, silent))
 
@@ -155,7 +159,7 @@ class TreeBuilder(HTMLParser):
             self.title = " ".join(data.split())
         if not self.open[-1][2]:
             self.pieces.append(data)
-            if any(tag == "a" for tag, _, _ in self.open[-6:]):
+            if self.links:
                 self.linked += len(data.strip())
 
 
@@ -206,8 +210,8 @@ Matched = tuple[int, list[tuple[Slot, Row, list]]]
 def matching(slots: list[Slot], rows: list[Row]) -> Matched:
     """Simple tree matching of two ordered lists: most matched nodes, and the matched pairs with theirs below.
 
-    Lists of more than ``MOST_PAIRS`` pairs are matched piece by piece, in linear memory. A match that lies further
-    apart than a piece may then be missed, so that a constant text there counts as content; no text is lost by it.
+    The best matching is found for lists of any length; beyond ``MOST_PAIRS`` pairs in memory that grows with their
+    lengths and not with the number of pairs.
     """
     stack, value = [_matching(slots, rows)], None
     while stack:  # each step is a matching that waits for one further down
@@ -221,33 +225,33 @@ def matching(slots: list[Slot], rows: list[Row]) -> Matched:
 
 
 def _matching(slots: list[Slot], rows: list[Row]) -> Generator[Generator, Matched, Matched]:
-    if len(slots) * len(rows) <= MOST_PAIRS:
-        return (yield _exact(slots, rows)) if slots and rows else (0, [])
-    # Equal beginnings and ends are paired as they are; what is left goes in blocks, each matched in full.
-    n = min(len(slots), len(rows))
-    head = next((i for i in range(n) if slots[i].label != rows[i].label), n)
-    tail = next((i for i in range(n - head) if slots[-1 - i].label != rows[-1 - i].label), n - head)
-    total, pairs = 0, []
-
-    def paired(some):
-        count = 0
-        for s, r in some:
-            inner = (yield _matching(s.children, r.rows)) if s.children and r.rows else (0, [])
-            pairs.append((s, r, inner[1]))
-            count += inner[0] + 1
-        return count
-
-    total += yield from paired(zip(slots[:head], rows[:head]))
-    i, j, side = head, head, math.isqrt(MOST_PAIRS)
-    ends_at = len(slots) - tail, len(rows) - tail
-    while i < ends_at[0] and j < ends_at[1]:
-        some, others = slots[i : min(i + side, ends_at[0])], rows[j : min(j + side, ends_at[1])]
-        count, found = yield _exact(some, others)
-        total += count
-        pairs += found
-        i, j = i + len(some), j + len(others)
-    total += yield from paired(zip(slots[ends_at[0] :], rows[ends_at[1] :]))
-    return total, pairs
+    if not slots or not rows:
+        return 0, []
+    if len(slots) == 1 or len(slots) * len(rows) <= MOST_PAIRS:
+        return (yield _exact(slots, rows))
+    # Divide and conquer: the best place to cut the rows is where the scores of both halves of the slots add up to most.
+    half = len(slots) // 2
+    before = yield _scores(slots[:half], rows)
+    behind = yield _scores(slots[:half - 1 : -1], rows[::-1])
+    cut = int(np.argmax(before + behind[::-1]))
+    first = yield _matching(slots[:half], rows[:cut])
+    second = yield _matching(slots[half:], rows[cut:])
+    return first[0] + second[0], first[1] + second[1]
+
+
+def _scores(slots: list[Slot], rows: list[Row]) -> Generator[Generator, Matched, np.ndarray]:
+    """For each number of leading rows, the most nodes matched between them and all slots; one line of scores at a time."""
+    number: dict[tuple, int] = {}
+    labels = np.array([number.setdefault(r.label, len(number)) for r in rows])
+    nested = np.array([bool(r.rows) for r in rows])
+    best = np.zeros(len(rows) + 1, np.int64)
+    for slot in slots:
+        equal = labels == number.get(slot.label, -1)
+        paired = best[:-1] + equal
+        for j in np.flatnonzero(equal & nested).tolist() if slot.children else ():
+            paired[j] += (yield _matching(slot.children, rows[j].rows))[0]
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(equal, paired, 0)))
+    return best
 
 
 def _exact(slots: list[Slot], rows: list[Row]) -> Generator[Generator, Matched, Matched]:
@@ -392,18 +396,26 @@ def content(tree: Element, least_pages: int) -> Iterator[str]:
 def main_texts(pages: DataFrame, group_pages: int = 32, least_pages: int = 3) -> DataFrame:
     """page_id, url and text of each page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html", "page_id", "url").alias("page"))
+    # Rows that repeat a page in full are read once, so that no group holds more of them than of other pages.
+    known = stored(rows.select("page", "host"), "page-keys")
+    again = stored(known.groupBy("page").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    alone = rows.join(again, "page", "left_anti")
+    one = rows.join(again, "page", "left_semi").groupBy("page").agg(*(F.any_value(c).alias(c) for c in ("page_id", "url", "html", "host")))
+    rows = alone.unionByName(one)
     # One small row for each host; written, so that its true size decides how it is joined.
-    sizes = stored(rows.groupBy("host").agg((F.floor(F.count("*") / group_pages) + 1).alias("groups")), "hosts")
-    dealt = rows.join(sizes, "host").withColumn("dealt", F.pmod(F.xxhash64("html", "page_id", "url"), "groups"))
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    sizes = stored(known.distinct().groupBy("host").agg((F.floor(F.count("*") / group_pages) + 1).alias("groups")), "hosts")
+    dealt = rows.join(sizes, "host").withColumn("dealt", F.pmod("page", "groups"))
+    schema = pa.schema([("page", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def extract(group: pa.Table) -> pa.Table:
         trees = induced(group.column("html").to_pylist())
         texts = ["\n".join(content(tree, least_pages)) for tree in trees]
-        return pa.Table.from_arrays([group.column("page_id"), group.column("url"), pa.array(texts, pa.string())], schema=schema)
+        return pa.Table.from_arrays([*(group.column(c) for c in ("page", "page_id", "url")), pa.array(texts, pa.string())], schema=schema)
 
-    return dealt.groupBy("host", "dealt").applyInArrow(extract, "page_id long, url string, text string")
+    found = dealt.groupBy("host", "dealt").applyInArrow(extract, "page long, page_id long, url string, text string")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))
+    return found.join(again, "page", "left").withColumn("copy", times).select("page_id", "url", "text")
 
 
 def op3_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
