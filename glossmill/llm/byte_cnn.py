@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossmill.llm.common import appended, column, table
+from glossmill.llm.common import appended, column, stored, table
 
 WIDTH, STRIDE, VECTOR, FILTERS = 16, 4, 8, 32
 CHUNK = 1 << 13
@@ -122,14 +122,21 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 16,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> DataFrame:
-    """doc_id, text and quality of at most ``per_class`` labelled texts of each kind, the same ones in every run."""
-    usable = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out())
+    """doc_id, text and quality of ``per_class`` labelled documents of each kind, or all there are; the same in every run.
+
+    Drawn from the documents that can be learned from: those with a label, held in ``docs``, of at most ``longest`` bytes.
+    A document counts once, however often its row or its label is there; of several texts the smallest is learned.
+    """
+    marked = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out()).select("doc_id", "quality").distinct()
+    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= longest)
+    there = stored(marked.join(short.select("doc_id"), "doc_id", "left_semi"), "labelled")
     drawn = None
     for kind in (0, 1):
-        some = usable.filter(F.col("quality") == kind).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = there.filter(F.col("quality") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = some if drawn is None else drawn.unionByName(some)
     # Two limits bound the broadcast side.
-    return docs.select("doc_id", "text").filter(F.octet_length("text") <= longest).join(F.broadcast(drawn), "doc_id")
+    texts = short.join(F.broadcast(drawn), "doc_id")
+    return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def fitted_in_task(sample: DataFrame, columns: list[str], fit_rows: Callable) -> object:

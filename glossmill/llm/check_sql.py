@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glossmill.llm.fm_index import WINDOW as TEST_WINDOW
+from glossmill.llm.induced import WINDOW as BYTES
 from glossmill.llm.merkle import FANOUT, FIELDS
 from glossmill.llm.superkmers import WINDOW
 from glossmill.llm.vector_links import COSINE
@@ -74,6 +75,19 @@ SQL = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)""",
+    "op9_suffix_array_dedup": f"""
+        WITH w AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+        seen AS (SELECT rid, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS i FROM (
+                   SELECT rid, list_transform(range(1, n - {BYTES - 2}), lambda i: md5(b[i : i + {BYTES - 1}])) AS hs FROM w)),
+        twice AS (SELECT h FROM seen GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT rid, i, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > {BYTES}, true) AS fresh FROM seen SEMI JOIN twice USING (h)),
+        span AS (SELECT rid, min(i) AS a, max(i) + {BYTES} AS e FROM (
+                   SELECT rid, i, count(*) FILTER (fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM hit) GROUP BY rid, run),
+        cut AS (SELECT rid, a, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM span),
+        kept AS (SELECT rid, count(*) AS spans, sum(e - a) AS gone, max(e) AS last, string_agg(hex(b[p + 1 : a]), '' ORDER BY a) AS k
+                 FROM cut JOIN w USING (rid) GROUP BY rid)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(k, '') || hex(b[coalesce(last, 0) + 1 :]))) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)""",
     "op12_pointer_jumping_manifest": f"""
         WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
         doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS tree, {merkle_leaf()} AS leaf,

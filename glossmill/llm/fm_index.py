@@ -16,13 +16,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossmill.llm.common import KEYS, appended, column, keyed, slices, table, with_keys
+from glossmill.llm.common import KEYS, appended, column, keyed, slices, stored, table, with_keys
 from glossmill.llm.suffixes import doubled_suffix_array
 
 WINDOW = 10
@@ -206,16 +207,16 @@ REPORT = {
 CLEAN = {"clean": ("string", pa.string())}
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
-    """Test items in blocks of about ``block_bytes`` of text, so that no broadcast grows with the benchmark."""
+def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """Number of blocks of about ``block_bytes`` of test items' text, and the blocks, each made when it is asked for."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").na.drop(subset=["text"])
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // block_bytes) + 1
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [
+    return n, (
         Phrases([(r["item_id"], r["text"].encode()) for r in items.filter(F.col("block") == b).toLocalIterator()], window)
         for b in range(n)
-    ]
+    )
 
 
 def _report(text: bytes, n: int, spans: list, items: set[str]) -> tuple:
@@ -228,12 +229,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
                   shard_bytes: int = 6 << 20, block_bytes: int = 32 << 20) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, the clean text.
 
-    One block of test items needs no shuffle. With more, each block is searched in a pass of its own that returns the
-    documents it hits, and these few rows are brought together by document.
+    One block of test items needs no shuffle. With more, each block is made, sent out, searched in a pass of its own and
+    dropped again before the next, so that no memory grows with the benchmark; the documents that a pass hits are
+    written, and these few rows are brought together by document.
     """
     results = {**REPORT, **(CLEAN if with_text else {})}
-    blocks = phrase_blocks(benchmark, window, block_bytes)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    count, blocks = phrase_blocks(benchmark, window, block_bytes)
+    send = docs.sparkSession.sparkContext.broadcast
 
     def shards(rows, phrases):
         for batch in slices(rows, shard_bytes):
@@ -247,9 +249,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
             out["clean"] = [without(t, f[1]).decode() for t, f in zip(texts, found)]
         return out
 
-    if len(shared) == 1:
+    if count == 1:
+        shared = send(next(blocks))
+
         def whole(rows):
-            for batch, texts, found in shards(rows, shared[0].value):
+            for batch, texts, found in shards(rows, shared.value):
                 yield batch, answer(texts, found)
 
         return appended(docs, results, whole)
@@ -264,9 +268,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
                 }
         return appended(keyed(docs), FOUND, run).select(*KEYS, "spans", "items")
 
-    hits = hits_of(shared[0])
-    for block in shared[1:]:
-        hits = hits.unionByName(hits_of(block))
+    hits = None
+    for block in map(send, blocks):
+        found = stored(hits_of(block), "hits")
+        block.destroy()
+        hits = found if hits is None else hits.unionByName(found)
     # Sets: rows that repeat a document in full share the key, and each brings the same answer of every block.
     hits = hits.groupBy(*KEYS).agg(
         F.flatten(F.collect_set("spans")).alias("all_spans"), F.flatten(F.collect_set("items")).alias("all_items")

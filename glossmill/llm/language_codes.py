@@ -5,7 +5,8 @@ lower case) says which half of the languages a text belongs to. Decoding takes t
 bit weighted by how well its classifier separates. A small gap to the next codeword marks the text as ambiguous.
 
 Only texts of known language whose crc32(doc_id as text) mod 3 is not 1 are learned from, about ``per_language`` of
-each and of at most ``longest`` bytes; every text is judged whole. Null texts and texts without a letter are ``und``
+each, about ``most`` in all and of at most ``longest`` bytes, so that the fit does not grow with the number of languages;
+every text, however long, is judged whole. Codewords at equal loss: the first language in order. Null texts and texts without a letter are ``und``
 with score 0, as are all texts if nothing can be learned. With one language all other texts are that one, with score
 1. Repeated rows get equal results. Other columns pass through.
 """
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossmill.llm.byte_cnn import fitted_in_task, held_out
-from glossmill.llm.common import appended, column, table
+from glossmill.llm.common import appended, column, stored, table
 
 SLOTS = 1 << 12
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -90,22 +91,23 @@ def fit(texts: list[bytes], langs: list[str], ridge: float = 0.05) -> Codes:
     return Codes(languages, code, (x.T @ dual).astype(np.float32), trust / max(trust.mean(), 1e-9) if trust.size else trust)
 
 
-def labelled_sample(docs: DataFrame, per_language: int, longest: int) -> DataFrame:
-    """doc_id, text and lang of about ``per_language`` texts each, drawn by a hash of doc_id, the same in every run."""
+def labelled_sample(docs: DataFrame, per_language: int, most: int, longest: int) -> DataFrame:
+    """doc_id, text and lang of about ``per_language`` texts each, and about ``most`` in all, drawn by a hash of doc_id.
+
+    The same in every run. With more languages than share ``most`` at ``per_language`` each, all get fewer alike.
+    """
     usable = docs.select("doc_id", "text", "lang").filter(
         "doc_id is not null and lang is not null and text is not null").filter(~held_out()).filter(F.octet_length("text") <= longest)
     # One number for each language; the sample is bounded by its share, not by a sort of each language's texts.
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not sizes:
-        return usable
-    size = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("lang")]
+    sizes = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    wanted = min(float(per_language), most / max(sizes.count(), 1))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    return usable.filter(draw * size < per_language)
+    return usable.join(sizes, "lang").filter(draw * F.col("size") < wanted).select("doc_id", "text", "lang")
 
 
-def languages(docs: DataFrame, per_language: int = 300, longest: int = 1 << 15, gap: float = 1.0) -> DataFrame:
+def languages(docs: DataFrame, per_language: int = 300, longest: int = 1 << 15, gap: float = 1.0, most: int = 4096) -> DataFrame:
     """docs with held_out, lang_pred, score and ambiguous."""
-    sample = labelled_sample(docs, per_language, longest)
+    sample = labelled_sample(docs, per_language, most, longest)
     codes = fitted_in_task(sample, ["doc_id", "text", "lang"], lambda rows: fit([r[1].encode() for r in rows], [r[2] for r in rows]))
     shared = docs.sparkSession.sparkContext.broadcast(codes)
     results = {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "ambiguous": ("boolean", pa.bool_())}

@@ -2,17 +2,22 @@
 
 A change adds (sign 1) or takes back (sign -1) one document's count under its source, language and tokenizer version.
 A batch is summed to one row per group and committed as one folder of the store; totals are the sums over all
-committed folders. A batch id commits once: a second commit of it changes nothing, and what a failed commit left
-behind is replaced. A revised count is the old row taken back and the new one added, so totals never need the texts.
+committed folders. A batch id commits once, also when two commit it at the same time: a second commit of it changes
+nothing, and what a failed commit left behind does not count. A revised count is the old row taken back and the new one added, so totals never need the texts.
 
 Null text: no tokens. Null source or language: a group of its own. Repeated rows count as often as they are there.
-Empty batches commit and add nothing; totals of an empty store have no rows. Groups whose documents have all been
-taken back are left out. Other columns are ignored.
+Empty batches commit and add nothing; totals of an empty store have no rows. Groups whose documents and tokens
+have all been taken back are left out; one whose tokens do not cancel stays, also without documents, since its changes
+contradict each other. A very long text is encoded in one piece in its row. Other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossmill.llm.common import appended, column, stored, table
@@ -60,29 +65,48 @@ class RollupStore:
         return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def committed(self) -> list[str]:
-        """Folders of the batches whose write came to its end."""
+        """Folders of the committed batches, as their commit files name them."""
         path, files = self._files()
-        if not files.exists(path(self.path)):
-            return []
-        folders = [s.getPath().toString() for s in files.listStatus(path(self.path))]
-        return sorted(f for f in folders if files.exists(path(f"{f}/_SUCCESS")))
+        marks = files.globStatus(path(f"{self.path}/commit-*"))
+        named = [self._read(files, m.getPath()) for m in marks or []]
+        return sorted(f"{self.path}/{name}" for name in named if name)
+
+    def _read(self, files, mark) -> str:
+        stream = files.open(mark)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Add a batch; False, and nothing done, if its id is there already."""
-        folder = f"{self.path}/batch-{batch_id}"
+        """Add a batch; False, and nothing done, if its id is there already.
+
+        The sums are written to a folder of their own first. Making the batch's commit file, which names the folder, is
+        one step that succeeds for one committer only; a folder that no commit file names does not count.
+        """
         path, files = self._files()
-        if files.exists(path(f"{folder}/_SUCCESS")):
+        mark, folder = path(f"{self.path}/commit-{batch_id}"), f"batch-{batch_id}-{uuid.uuid4().hex}"
+        if files.exists(mark):
             return False
         deltas = changes.groupBy(*GROUP).agg(
             F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        deltas.coalesce(1).write.mode("overwrite").parquet(folder)
+        deltas.write.parquet(f"{self.path}/{folder}")
+        try:
+            stream = files.create(mark, False)
+        except Py4JJavaError:  # someone else was faster
+            if not files.exists(mark):
+                raise
+            files.delete(path(f"{self.path}/{folder}"), True)
+            return False
+        stream.write(bytearray(folder.encode()))
+        stream.close()
         return True
 
     def totals(self) -> DataFrame:
-        """n_docs and n_tokens of every group that has documents."""
+        """n_docs and n_tokens of every group in which they do not cancel."""
         folders = self.committed()
         deltas = self.spark.read.schema(DELTA).parquet(*folders) if folders else self.spark.createDataFrame([], DELTA)
-        return deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0")
+        return deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 or n_tokens != 0")
 
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
-"""Each stage of the pipeline: its decisions take effect, and the columns stay those of documents."""
+"""Each stage of the pipeline against a plain model of what it has to do to its own input."""
+
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
+from llm_tables import awkward, make_docs, sample  # noqa: F401
 from pyspark.sql import functions as F
+from test_other_operators import near_groups
 
 import corpus_pipeline
-from glossmill.llm.byte_cnn import quality_scores
-from glossmill.llm.fm_index import decontaminate
-from glossmill.llm.induced import suffix_dedup
-from glossmill.llm.simhash import near_duplicates
-from llm_tables import awkward, make_docs, sample  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 @pytest.fixture(scope="module")
@@ -26,38 +30,84 @@ def ids(df):
     return sorted(r["doc_id"] for r in df.select("doc_id").collect())
 
 
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.collect()}
+
+
 def test_columns(stages):
     assert all(df.columns == stages[0].columns for df in stages[1:5])
 
 
 def test_quality_stage(spark, stages):
-    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
-    assert ids(stages[1]) == ids(quality_scores(stages[0], labels).filter("predicted = 1"))
+    """Labelled documents, held out ones too, go or stay as their label says; nothing else about a row changes."""
+    kept = set(ids(stages[1]))
+    marks = [(r["doc_id"] in kept, r["quality"]) for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect() if r["doc_id"] in set(ids(stages[0]))]
+    good, bad = [k for k, q in marks if q == 1], [k for k, q in marks if q == 0]
+    assert good and sum(good) / len(good) > 0.9 and (not bad or sum(bad) / len(bad) < 0.1)
+    assert stages[1].exceptAll(stages[0]).count() == 0 and stages[1].count() == len(kept)
 
 
 def test_near_dedup_stage(stages):
-    groups = near_duplicates(stages[1])
-    assert ids(stages[2]) == sorted({r["component_id"] for r in groups.collect()})
+    """All pairs of fingerprints: the least document of each group stays, as it was."""
+    rows = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
+    assert ids(stages[2]) == sorted({least for _, _, least in near_groups(rows)})
+    assert stages[2].exceptAll(stages[1]).count() == 0
 
 
 def test_repeat_stage(stages):
-    kept = {r["doc_id"]: r["kept"] for r in suffix_dedup(stages[2], with_kept=True).collect()}
-    left = stages[3].collect()
-    assert {r["doc_id"]: r["text"] for r in left} == kept
-    assert all(r["n_chars"] == len(r["text"]) for r in left)
+    """All windows of the stage's length, counted as they stand in its input."""
+    window, before = corpus_pipeline.REPEAT_BYTES, texts(stages[2])
+    seen = Counter(t[i : i + window] for t in (x.encode() for x in before.values()) for i in range(len(t) - window + 1))
+    expected = {}
+    for doc_id, text in before.items():
+        data = text.encode()
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - window + 1):
+            if seen[data[i : i + window]] > 1:
+                gone[i : i + window] = True
+        expected[doc_id] = bytes(b for b, g in zip(data, gone) if not g).decode(errors="ignore")
+    assert texts(stages[3]) == expected and expected != before
+    assert all(r["n_chars"] == len(r["text"]) for r in stages[3].collect())
+
+
+def test_repeated_passages_of_over_fifty_words_go(spark, make_docs):
+    """Whatever their words: of a passage in several documents nothing is left, and the text around it stays."""
+    rng = np.random.default_rng(4)
+    fresh = iter(range(10**6))
+    own = lambda n: " ".join(f"own{next(fresh)}" for _ in range(n))
+    passages = [" ".join("".join(rng.choice(list("abcdefghijklm"), rng.integers(3, most))) for _ in range(n)) for n, most in ((51, 7), (60, 9), (120, 12))]
+    rows = [(10 * k + j, f"{own(40)}\n{p}\n{own(30)}") for k, p in enumerate(passages) for j in range(3)]
+    out = texts(corpus_pipeline.without_repeats(spark, make_docs(rows), FOLDER))
+    for doc_id, text in rows:
+        before, passage, behind = text.split("\n")
+        assert passage not in out[doc_id] and len(out[doc_id]) <= len(before) + len(behind) + 2
+        assert before[:-8] in out[doc_id] and behind[8:] in out[doc_id]
 
 
 def test_benchmark_stage(spark, stages):
-    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
-    before = decontaminate(stages[3], bench).agg(F.sum("n_hit"), F.sum("n_words")).first()
-    after = decontaminate(stages[4], bench).agg(F.sum("n_words")).first()
-    assert after[0] == before[1] - before[0]
+    """No window of ten benchmark words is left, and all words that stood in none are."""
+    words = lambda t: WORD.findall((t or "").translate(UPPER))
+    windows = set()
+    for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    expected = {}
+    for doc_id, text in texts(stages[3]).items():
+        w = words(text)
+        hit = {k for size in sizes for i in range(len(w) - size + 1) if tuple(w[i : i + size]) in windows for k in range(i, i + size)}
+        expected[doc_id] = [x for k, x in enumerate(w) if k not in hit]
+    assert {d: words(t) for d, t in texts(stages[4]).items()} == expected
 
 
 def test_packing_stage_and_run(spark, stages):
     assert ids(stages[4]) == sorted(set(ids(stages[5])))
     rows = [(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, FOLDER).collect()]
     assert sorted(rows) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages[5].collect())
+    used = Counter()
+    for r in stages[5].collect():
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 2048 and len(used) <= 1 + 1.02 * sum(used.values()) / 2048
 
 
 @pytest.mark.parametrize("number", range(5))
