@@ -4,7 +4,7 @@ Texts are cut into runs of windows that share a minimiser, so that equal windows
 the suffix array comes from induced sorting and the permuted common prefixes from its irreducible positions; a
 window is repeated if it shares its whole length with a neighbour in the array.
 
-Null text: empty. Texts shorter than a window are kept whole. Rows that repeat a document are copies of it, and all
+A very long text is cut a block of windows at a time. Null text: empty. Texts shorter than a window are kept whole. Rows that repeat a document are copies of it, and all
 lose what they share. Empty tables give empty results. Other columns pass through.
 """
 

@@ -6,9 +6,11 @@ fingerprints then share an index entry, whose members are compared in full.
 
 Only different fingerprints are indexed; copies hang on theirs. The members of an entry are linked as a forest, not
 pair by pair. An entry with more than ``crowd`` members is indexed again by variants of the bits outside its segment,
-where the rest of the distance has to fit.
+where the rest of the distance has to fit. At distance 3 members of such a second entry agree in 46 bits: all but one of
+the segment, and all but one of half of the other segment. So there are 2**18 of them at most, however large the corpus;
+they are compared step by step in one task, in memory of a few numbers each.
 
-Null or empty text: fingerprint zero, linked like any other. Fewer words than a shingle: the words are the shingle.
+A very long text is hashed whole in its row. Null or empty text: fingerprint zero, linked like any other. Fewer words than a shingle: the words are the shingle.
 Repeated rows: each gets its row, with the same component. A null doc_id never names a component unless all of it is
 null. Empty tables give empty results.
 """

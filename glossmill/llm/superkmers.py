@@ -3,7 +3,7 @@
 Windows of consecutive words that share a minimiser travel as one packed string to the bucket of that minimiser,
 where sorting finds the windows that occur more than once. A word is removed if such a window covers it.
 
-Null text: no words. Fewer words than a window: nothing is removed. Rows that repeat a document count as copies of
+A very long text is cut a block of windows at a time. Null text: no words. Fewer words than a window: nothing is removed. Rows that repeat a document count as copies of
 it, so both lose what they share. Empty tables give empty results. Other columns pass through.
 """
 

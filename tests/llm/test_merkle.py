@@ -60,7 +60,7 @@ def found(docs):
 
 
 @pytest.mark.parametrize("sizes", [
-    {"en": 1}, {"en": 8}, {"en": 9}, {"en": 65, None: 1, "de": 7}, {None: 520, "": 3, "en": 1, "z": 2},
+    {"en": 1}, {"en": 65, None: 1, "de": 7, "eight": 8, "nine": 9}, {None: 520, "": 3, "z": 2},
 ])
 def test_trees_of_all_shapes(make_docs, sizes):
     docs = make_docs([(i * 7 % 1000, f"text {i}", lang, "s") for lang, n in sizes.items() for i in range(n)])
