@@ -64,6 +64,11 @@ def directions(size: int, count: int) -> np.ndarray:
     return np.random.default_rng((SEED, size)).standard_normal((size, count))
 
 
+def sign_type(bits: int) -> type:
+    """The smallest type that holds the signs of one table, of which each row of the index carries one for every table."""
+    return next((t for most, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if bits <= most), np.int64)
+
+
 def signs_of(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """For each vector and table its bits as one number."""
     up = vectors @ directions(vectors.shape[1], tables * bits) > 0
@@ -90,10 +95,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def indexed(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
     """A row for each node (node, w, vector) and table: the table, the bucket and what a comparison needs."""
 
+    kind = sign_type(bits)
+
     def entries(node, w, vectors, signs):
         each = np.tile(np.arange(len(node)), tables)
         none = np.zeros(len(each), np.int32)
-        packed, values = (pa.array([x.tobytes() for x in m], pa.binary()).take(pa.array(each)) for m in (signs, vectors))
+        packed, values = (pa.array([x.tobytes() for x in m], pa.binary()).take(pa.array(each)) for m in (signs.astype(kind), vectors))
         return [signs.T.ravel(), none, none, node[each], w[each], none, packed, values]
 
     def run(rows):
@@ -215,7 +222,7 @@ class Comparer:
         return pa.RecordBatch.from_arrays([pa.array(a), b, n], schema=FOUND_ARROW)
 
 
-def compared(index: DataFrame, cosine: float, entry: str) -> DataFrame:
+def compared(index: DataFrame, cosine: float, entry: str, kind: type) -> DataFrame:
     """Rows (a, n): links counted for node a in a bucket; rows (a, b): links that join up the bucket's members."""
     dealt = index.repartition(*KEY).sortWithinPartitions(*KEY, "chunk")
 
@@ -242,8 +249,8 @@ def compared(index: DataFrame, cosine: float, entry: str) -> DataFrame:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
         plain = lambda c: rows[c].to_numpy()
-        matrix = lambda c, kind: np.frombuffer(b"".join(rows[c].to_pylist()), kind).reshape(rows.num_rows, -1)
-        found = Comparer(key[0], plain("chunk"), plain("node"), plain("w"), matrix("signs", np.int64), matrix("vector", entry),
+        matrix = lambda c, of: np.frombuffer(b"".join(rows[c].to_pylist()), of).reshape(rows.num_rows, -1)
+        found = Comparer(key[0], plain("chunk"), plain("node"), plain("w"), matrix("signs", kind), matrix("vector", entry),
                          key[3] != key[4], cosine).run()
         if found is not None:
             yield found
@@ -264,7 +271,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MIS
 
     bits, tables = plan_tables(nodes.count(), cosine, miss, bucket)
     index = chunked(indexed(nodes, tables, bits), bucket_sizes(nodes, tables, bits), crowd)
-    found = stored(compared(index, cosine, "f4" if given else "f8"), "vector-links")
+    found = stored(compared(index, cosine, "f4" if given else "f8", sign_type(bits)), "vector-links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("b is not null").select("a", "b"))
 
