@@ -173,13 +173,13 @@ def entity_by_id(entities: Column, entity_id: Column) -> Column:
 
 
 def relation_endpoints(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per relation with the entities it connects."""
-    one = docs.select(*keep, "entities", F.posexplode("relations").alias("rel_pos", "rel"))
-    return one.select(
-        *keep, "rel_pos", F.col("rel.relation_type").alias("relation_type"),
-        entity_by_id(F.col("entities"), F.col("rel.subject_id")).alias("subject"),
-        entity_by_id(F.col("entities"), F.col("rel.object_id")).alias("object"),
-    )
+    """One row per relation with the entities it connects, which are looked up before the relations become rows."""
+    entities = F.col("entities")
+    ends = F.transform("relations", lambda r: F.struct(
+        r["relation_type"].alias("relation_type"),
+        entity_by_id(entities, r["subject_id"]).alias("subject"), entity_by_id(entities, r["object_id"]).alias("object"),
+    ))
+    return docs.select(*keep, F.posexplode(ends).alias("rel_pos", "rel")).select(*keep, "rel_pos", "rel.*")
 
 
 def mentions_with_spans(docs: DataFrame, terms: Column, keep: list[str]) -> DataFrame:

@@ -77,7 +77,8 @@ def run_inference(
     Run it again after a failure: every ``keep_every`` answers of a task are kept at once, and samples with a kept
     answer are skipped by key.  The missing prompts are found and rendered once, into a table that is read without a
     shuffle, by at most ``partitions`` tasks; ``sources.answers`` says how they write.  Prompts are cut to ``max_length``
-    tokens, those of ``make_encoder`` if there is one.
+    tokens, those of ``make_encoder`` if there is one.  Runs into one path have to follow each other: two at once would
+    both ask for what is missing.
 
     Where Python cannot write to ``path``, Spark writes, which keeps the answers of a job as a whole; the run is cut
     into ``slices`` jobs over disjoint records then, and a failure costs one of them.

@@ -127,6 +127,19 @@ def test_the_same_file_twice_is_two_sources(spark, lines_file):
         load_lines(spark, [(path, "fr")])
 
 
+def test_stores_that_only_spark_reads(spark, files, monkeypatch):
+    """The same lines, in the same order, by Spark's own reader."""
+    from glossmill.sources import jsonl
+
+    plain = [f for f in files if not f[0].endswith("odd.jsonl")]  # Spark's reader takes a lone carriage return as well
+    ours = [(r.source_idx, r.hint, r.value) for r in load_lines(spark, plain).orderBy(*ORDER_KEY).collect()]
+    present = existing_sources(spark, plain)
+    monkeypatch.setattr(jsonl, "reachable", lambda path: False)
+    theirs = load_lines(spark, plain)
+    assert [(r.source_idx, r.hint, r.value) for r in theirs.orderBy(*ORDER_KEY).collect()] == ours and existing_sources(spark, plain) == present
+    assert "BatchScan" not in plan(theirs)
+
+
 # ---- the load report --------------------------------------------------------------------------
 
 def test_the_report_comes_from_the_load_itself(spark, lines_file, tmp_path):
