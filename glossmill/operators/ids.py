@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime, timezone
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
+from glossmill.functions.text import bind
 from glossmill.schemas import SAMPLE_KEY, SAMPLE_ORDER
 from glossmill.session import written
 
@@ -13,6 +16,8 @@ from glossmill.session import written
 PER_BORDER = 20
 #: Rows that are sorted at once when a border is looked for.
 FEW = 20_000
+#: Types whose values a text holds exactly.
+AS_TEXT = (T.IntegralType, T.FractionalType, T.BooleanType, T.StringType, T.DateType, T.TimestampType)
 
 
 def borders(keys: DataFrame, order: list[str], ranges: int) -> list[Row]:
@@ -28,23 +33,38 @@ def _least(schema, order: list[str], cut: Row) -> Column:
     return F.struct(*[F.lit(cut[c]).cast(schema[c].dataType).alias(c) for c in order])
 
 
+def _written_out(value) -> str | None:
+    """A value as text that a cast reads back as the same value."""
+    if isinstance(value, datetime):
+        return value.astimezone(timezone.utc).isoformat()
+    return None if value is None else str(value)
+
+
+def _limits(schema, order: list[str], cuts: list[Row]) -> Column:
+    """The cuts as one array of keys: a single literal text, which Spark reads when it plans, however many they are."""
+    if not all(isinstance(schema[c].dataType, AS_TEXT) for c in order):
+        return F.array(*[_least(schema, order, c) for c in cuts])
+    names = [f"k{i}" for i in range(len(order))]
+    texts = json.dumps([dict(zip(names, (_written_out(c[k]) for k in order))) for c in cuts])
+    read = F.from_json(F.lit(texts), T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names])))
+    return read.cast(T.ArrayType(T.StructType([T.StructField(c, schema[c].dataType) for c in order])))
+
+
 def range_of(df: DataFrame, order: list[str], cuts: list[Row]) -> Column:
     """How many of the ascending cuts are not greater than a row's key.
 
-    Looked up in two steps, first among every so many cuts and then among those behind the one found, so that a row is
-    compared with about the square root of them.
+    Looked up by halving, so that a row is compared with as many cuts as their number has binary digits, and its key is
+    made once.
     """
     if not cuts:
         return F.lit(0)
-    width = max(1, round(len(cuts) ** 0.5))
-    limits = [_least(df.schema, order, c) for c in cuts]
-    key = F.struct(*order)
-    not_above = lambda c: c <= key
-    coarse = F.array(*limits[::width])
-    fine = F.array(*[F.array(*limits[i : i + width]) for i in range(0, len(limits), width)])
-    group = F.size(F.filter(coarse, not_above))
-    inside = F.size(F.filter(F.get(fine, group - 1), not_above))
-    return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
+    limits = _limits(df.schema, order, cuts)
+    steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+
+    def place(key: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(limits, at + s - 1) <= key, at + s).otherwise(at))
+
+    return bind(F.struct(*order), place)
 
 
 def _counts(keys: DataFrame, order: list[str], cuts: list[Row]) -> list[int]:

@@ -17,8 +17,6 @@ IGNORE = -100
 # Default tokens: runs of letters, digits and underscores, or any other single visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 VOCABULARY = 32_000
-# Stands behind a token while a text is cut; no text holds this row of control and private characters.
-TOKEN_END = "\x01\ue0ff\x01"
 MAX_LENGTH = 1024
 
 Encoder = Callable[[list[str]], list[list[int]]]
@@ -29,9 +27,9 @@ def tokens(text: Column) -> Column:
 
 
 def clip_tokens(text: Column, most: int) -> Column:
-    """The text up to the end of its token number ``most``."""
-    ended = F.regexp_replace(text, f"({TOKEN})", f"$1{TOKEN_END}")
-    return F.replace(F.substring_index(ended, TOKEN_END, most), F.lit(TOKEN_END), F.lit(""))
+    """The text up to the end of its token number ``most``, or all of it if it has fewer; read once, up to there."""
+    first = rf"(?:\s*+(?:[\p{{L}}\p{{N}}_]++|[^\s\p{{L}}\p{{N}}_])){{{most}}}+"
+    return F.regexp_extract(text, rf"^{first}|^(?s:.*+)", 0)
 
 
 def hashed_ids(token_array: Column, vocabulary: int = VOCABULARY) -> Column:

@@ -7,10 +7,10 @@ import random
 
 import pytest
 from conftest import record
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from glossmill.operators.conversations import conversations, pieces
-from glossmill.operators.ids import head_subset, kth_key, with_aligned_id, with_dense_id
+from glossmill.operators.ids import head_subset, kth_key, range_of, with_aligned_id, with_dense_id
 from glossmill.operators.tokens import pad_batches
 from glossmill.plans import workflow
 from glossmill.schemas import ORDER_KEY, RECORD_KEY
@@ -319,3 +319,25 @@ def test_prepared_documents_keep_their_keys(spark, lines_file, tmp_path):
     entries = [(lines_file([record(f"d{k}") for k in range(5)]), "auto")]
     one, two = (workflow.prepare_documents(spark, entries, f"{tmp_path}/{n}") for n in "ab")
     assert sorted(one.select("doc_id", *ORDER_KEY).collect()) == sorted(two.select("doc_id", *ORDER_KEY).collect())
+
+
+def test_borders_are_looked_up_by_halving(spark):
+    """Thousands of borders are one text in the plan, and a row's key is not compared with runs of them."""
+    order = ["a", "b", "c"]
+    df, expected = rows_of(spark, 3000)
+    cuts = [Row(a=r[0], b=r[1], c=r[2]) for r in expected[1::2]]
+    out = df.select(*order, range_of(df, order, cuts).alias("at"))
+    assert "filter(" not in plan(out)
+    assert [r["at"] for r in out.orderBy(*order).collect()] == [(i + 1) // 2 for i in range(3000)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "decimal(20,3)", "double", "float", "date", "binary", "boolean", "string", "smallint"])
+def test_borders_of_any_type_keep_their_value(spark, kind):
+    values = {"timestamp": "timestamp_micros(id * 1234567891)", "decimal(20,3)": "cast(id as decimal(20,3)) / 7", "double": "if(id = 3, double('NaN'), id / 7)",
+              "date": "date_add(date'1969-12-01', cast(id as int))", "binary": "cast(char(id) as binary)", "boolean": "id % 2 = 0",
+              "string": "concat('\"\\\\é\\n', char(32 + id), ' ')"}
+    value = F.expr(values.get(kind, "id / 3"))
+    df = spark.range(40).select(F.when(F.col("id") != 5, value).cast(kind).alias("k")).distinct()
+    cuts = df.orderBy("k").collect()
+    found = df.select("k", range_of(df, ["k"], cuts).alias("at")).orderBy("k").collect()
+    assert [r["at"] for r in found] == list(range(1, len(cuts) + 1))

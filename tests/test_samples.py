@@ -178,3 +178,15 @@ def test_prompts_are_clipped_before_the_model(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (2, "a")], "id long, prompt string")
     echo = lambda: lambda prompts: prompts
     assert {r.id: r.raw_text for r in predict(rows, echo, keep=["id"], max_length=2).collect()} == {1: "a b", 2: "a"}
+
+
+def test_clipping_reads_a_text_once_whatever_it_holds(spark):
+    """Marks of control and private characters in a text are text; white space behind the last token goes, or stays with fewer."""
+    texts = ["a \x01\x01 b c", " a  b \n", " a  b  c \n d", "", "  ", "é_1 ß,\x85ü", None, "x " * 70_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    from glossmill.operators.tokens import clip_tokens
+    once = df.select("i", clip_tokens(F.col("t"), 2).alias("c"))
+    assert "replace" not in once._jdf.queryExecution().executedPlan().toString()
+    got = [r.c for r in once.orderBy("i").collect()]
+    assert got == ["a \x01", " a  b", " a  b", "", "  ", "é_1 ß", None, "x x"]
+    assert df.select(clip_tokens(F.col("t"), 65_000).alias("c")).agg(F.max(F.length("c"))).first()[0] == 2 * 65_000 - 1
