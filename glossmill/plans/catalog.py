@@ -493,7 +493,7 @@ def predict_stream_rows(spark, sf):
 def stream_scores(spark, sf):
     """Entity scores of what a stream wrote against the documents it wrote with it."""
     source, target, state, docs = (scratch_path(spark, f"scored-{n}") for n in ("in", "out", "state", "docs"))
-    write_jsonl(A.raw_lines(spark, sf), source, DOC_ORDER)
+    write_jsonl(A.raw_lines(spark, sf), source, DOC_ORDER, compression="gzip")
     run = predict_stream(spark, source, target, state, A.stub_model(), batch_size=16, files_per_trigger=3, documents=docs)
     run.awaitTermination()
     if run.exception() is not None:
@@ -505,7 +505,7 @@ def _stream_twice(spark, sf):
     """Every line arrives twice, in files of two runs of a stream that keeps state: its answers and its scores."""
     source, target, state, scores = (scratch_path(spark, f"resent-{n}") for n in ("in", "out", "state", "scores"))
     for _ in range(2):
-        A.raw_lines(spark, sf).select("value").write.mode("append").text(source)
+        A.raw_lines(spark, sf).select("value").write.mode("append").option("compression", "gzip").text(source)
         run = predict_stream(spark, source, target, state, A.stub_model(), batch_size=16, resent_within="30 days", scores=scores)
         run.awaitTermination()
         if run.exception() is not None:

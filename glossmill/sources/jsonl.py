@@ -184,17 +184,18 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, value: str = "value") -> None:
+def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, value: str = "value", compression: str = "none") -> None:
     """One line per row; the part files, in the order of their numbers, hold the rows in ``order``.
 
-    The rows are written first, since the sort reads its input twice, and deleted afterwards.
+    The rows are written first, since the sort reads its input twice, and deleted afterwards.  With a ``compression``,
+    such as "gzip", which the readers here undo, each file is read by one task.
     """
     keys = order or ORDER_KEY
     spark, copy = df.sparkSession, scratch_path(df.sparkSession, "lines")
     lines = df.select(*keys, F.col(value).alias("_line"))
     try:
-        lines.write.parquet(copy)
+        lines.write.option("compression", "zstd").parquet(copy)
         rows = spark.read.schema(lines.schema).parquet(copy)
-        rows.orderBy(*keys).select(F.col("_line").alias("value")).write.text(path)
+        rows.orderBy(*keys).select(F.col("_line").alias("value")).write.option("compression", compression).text(path)
     finally:
         released(spark, copy)

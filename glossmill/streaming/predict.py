@@ -68,7 +68,7 @@ def predict_stream(
         docs = standardize(lines_of(with_order_key(lines, batch_id), source, hint))
         copy = f"{documents}/batch={batch_id}" if documents else scratch_path(spark, "batch") if scores or resent_within else None
         if copy:  # a stream's batch is read once: state is kept by that run, and keys are fixed
-            docs.write.mode("overwrite").parquet(copy)
+            docs.write.mode("overwrite").option("compression", "zstd").parquet(copy)
             docs = spark.read.schema(docs.schema).parquet(copy)
         samples = with_prompt(build_samples(docs, format, task, re_mode))
         answers = parse_predictions(predict(samples, make_generator, batch_size, keep, None, max_length, make_encoder))
@@ -80,7 +80,8 @@ def predict_stream(
         if copy and not documents:
             released(spark, copy)
 
-    lines = reader.load(source).select("value", "_metadata")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_metadata")  # what the order key needs
+    lines = reader.load(source).select("value", place)
     if resent_within:
         lines = first_arrivals(lines, resent_within)
     return (
