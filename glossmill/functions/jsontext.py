@@ -81,14 +81,16 @@ def strict_object(text: Column, schema: T.StructType) -> Column:
     both elements come back, and nothing else, only when the reader consumed all of it.
     """
     sealed = T.StructType(schema.fields + [T.StructField(_SEAL, T.LongType())])
-    seal = F.xxhash64(text)
-    wrapped = F.concat(F.lit("["), text, F.lit(f',{{"{_SEAL}":'), seal.cast("string"), F.lit("}]"))
-    parsed = F.from_json(wrapped, T.ArrayType(sealed), _STRICT)
-    whole = bind(
-        parsed,
-        lambda p: F.when((F.size(p) == 2) & (F.get(p, F.lit(1))[_SEAL] == seal), F.get(p, F.lit(0))),
-    )
-    return whole
+
+    def read(given: Column) -> Column:
+        seal = F.xxhash64(given)
+        wrapped = F.concat(F.lit("["), given, F.lit(f',{{"{_SEAL}":'), seal.cast("string"), F.lit("}]"))
+        return bind(
+            F.from_json(wrapped, T.ArrayType(sealed), _STRICT),
+            lambda p: F.when((F.size(p) == 2) & (F.get(p, F.lit(1))[_SEAL] == seal), F.get(p, F.lit(0))),
+        )
+
+    return bind(text, read)
 
 
 def strict_object_stripped(text: Column, schema: T.StructType) -> Column:

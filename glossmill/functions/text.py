@@ -16,6 +16,9 @@ WS_RUN = (
     r"[\s\x1c-\x1f\x85\xa0"
     r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]+"
 )
+# A character that may be white space other than a blank.  Text without one, and without two blanks in a row, is cut
+# at its blanks, which needs no pattern.
+UNCOMMON = r"[^ -~\u00a1-\u167f]"
 
 
 def bind(value: Column, body) -> Column:
@@ -29,8 +32,13 @@ def strip(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Whitespace tokens; an empty or blank string gives an empty array."""
-    text = strip(col)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, WS_RUN))
+    return split_words(strip(col))
+
+
+def split_words(text: Column) -> Column:
+    """The same of a text that is stripped already."""
+    odd = text.contains("  ") | text.rlike(UNCOMMON)
+    return F.when(text == "", F.array().cast("array<string>")).when(odd, F.split(text, WS_RUN)).otherwise(F.split(text, " "))
 
 
 def normalize_term(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossmill.functions.jsontext import strict_object
-from glossmill.functions.text import padded_text, span_in, strip, words
+from glossmill.functions.text import padded_text, span_in, split_words, strip
 from glossmill.schemas import LANGUAGES, ORDER_KEY, RAW_RECORD
 from glossmill.session import computed_once
 
@@ -24,7 +24,8 @@ def without_empty_ends(value: Column) -> Column:
     keys are found.
     """
     nothing = r'"(subject_id|object_id)"(\s*:\s*)(?:-?0(?:\.0*)?(?:[eE][+-]?\d+)?|false|\[\s*\]|\{\s*\})(?=\s*[,}])'
-    return F.regexp_replace(value, nothing, '"$1"$2null')
+    with_ends = value.contains('"subject_id"') | value.contains('"object_id"')
+    return F.when(with_ends, F.regexp_replace(value, nothing, '"$1"$2null')).otherwise(value)
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -33,10 +34,8 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     The parse sits in a generator so that later filters cannot be pushed below it, where they would
     parse every line a second time.
     """
-    record = strict_object(without_empty_ends(F.col(value)), RAW_RECORD)
-    kept = F.filter(F.array(record), lambda r: r.isNotNull())
-    rows = lines.select("*", F.explode(kept).alias("record"))
-    return rows.filter(list_problem(F.col(value), F.col("record")).isNull())
+    rows = computed_once(lines, "record", strict_object(without_empty_ends(F.col(value)), RAW_RECORD))
+    return rows.filter(F.col("record").isNotNull() & list_problem(F.col(value), F.col("record")).isNull())
 
 
 def mark_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -61,8 +60,9 @@ def list_problem(value: Column, record: Column) -> Column:
 
 def _has_key(value: Column, record: Column, name: str) -> Column:
     """Is the top-level key present, null value included?  Only a null needs the second look."""
-    listed = F.array_contains(F.json_object_keys(value), name)
-    return record[name].isNotNull() | (value.contains(name) & F.coalesce(listed, F.lit(False)))
+    listed = F.coalesce(F.array_contains(F.json_object_keys(value), name), F.lit(False))
+    # A branch, because Spark computes what both sides of AND and OR share for every row.
+    return record[name].isNotNull() | F.when(value.contains(name), listed).otherwise(False)
 
 
 def detect_language(value: Column, record: Column) -> Column:
@@ -88,9 +88,8 @@ def by_language(language: Column, source: Column, suffix: str) -> Column:
 def project_language(parsed: DataFrame) -> DataFrame:
     """Add ``language`` and the sentence of that language, trimmed; a missing sentence is empty."""
     record = F.col("record")
-    return parsed.withColumn("language", resolve_language(F.col("value"), record, F.col("hint"))).withColumn(
-        "text", strip(F.coalesce(by_language(F.col("language"), record, "sentence_str"), F.lit("")))
-    )
+    rows = parsed.drop("text").withColumn("language", resolve_language(F.col("value"), record, F.col("hint")))
+    return computed_once(rows, "text", strip(F.coalesce(by_language(F.col("language"), record, "sentence_str"), F.lit(""))))
 
 
 def clean_text(projected: DataFrame) -> DataFrame:
@@ -138,7 +137,7 @@ def parse_relations(relations: Column, entities: Column) -> Column:
     # A list of one holds the unknown ids, so that they are searched for once.
     kept = F.flatten(F.transform(F.array(unknown), lambda nowhere: F.filter(triples, lambda r: anchored(r, nowhere))))
     empty = F.array().cast("array<struct<relation_type:string,subject_id:string,object_id:string>>")
-    return F.coalesce(kept, empty)
+    return F.coalesce(F.when(F.size(relations) > 0, kept), empty)
 
 
 def standardize(lines: DataFrame, **more: Column) -> DataFrame:
@@ -160,7 +159,7 @@ def standardize_parsed(parsed: DataFrame, **more: Column) -> DataFrame:
         .select(
             *ORDER_KEY[:1], "source", *ORDER_KEY[1:],
             F.coalesce(record["id"], F.lit("")).alias("doc_id"),
-            "text", words(F.col("text")).alias("words"), "entities", "relations", "language",
+            "text", split_words(F.col("text")).alias("words"), "entities", "relations", "language",
             F.coalesce(F.size(record["entities"]), F.lit(0)).alias("n_entities"),
             *(value.alias(name) for name, value in more.items()),
         )
