@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glossmill.functions.spans import insert_markers
 from glossmill.ontology import NO_RELATION, Ontology
 from glossmill.schemas import ORDER_KEY, RECORD_KEY
+from glossmill.session import computed_once
 
 
 def _allowed(subject: Column, obj: Column, ontology: Ontology) -> Column:
@@ -30,18 +31,24 @@ def entity_pairs(
     """
     keep = keep or [*ORDER_KEY, "doc_id", "words"]
     placed = F.transform("entities", lambda e, i: F.struct(i.alias("pos"), e.alias("entity")))
-    subjects = placed
+    subjects, candidates = placed, placed
     if ontology is not None:
-        starts = list(ontology.objects_by_subject())
-        subjects = F.filter(placed, lambda s: s["entity"]["label"].isin(starts))
+        by_subject = ontology.objects_by_subject()
+        ends = list(dict.fromkeys(label for labels in by_subject.values() for label in labels))
+        subjects = F.filter(placed, lambda s: s["entity"]["label"].isin(list(by_subject)))
+        candidates = F.filter(placed, lambda o: o["entity"]["label"].isin(ends))
     own = F.filter("relations", lambda r: r["subject_id"] == F.col("_subject.entity.entity_id"))
 
     def fits(o: Column) -> Column:
         other = o["pos"] != F.col("_subject.pos")
         return other if ontology is None else other & _allowed(F.col("_subject.entity.label"), o["entity"]["label"], ontology)
 
-    rows = docs.select(*keep, "entities", "relations", F.explode(subjects).alias("_subject")).select(
-        *keep, "_subject", own.alias("subject_relations"), F.filter(placed, fits).alias("_objects"))
+    # The candidates are picked once for a record and the objects once for a subject: a plain column of them would be
+    # made again by the filter on empty lists that Spark puts in front of the second generator.
+    rows = computed_once(docs.select(*keep, "entities", "relations"), "_candidates", candidates)
+    rows = rows.filter(F.size("_candidates") > 0).select(*keep, "relations", "_candidates", F.explode(subjects).alias("_subject"))
+    rows = computed_once(rows, "_objects", F.filter("_candidates", fits)).filter(F.size("_objects") > 0)
+    rows = rows.select(*keep, "_subject", own.alias("subject_relations"), "_objects")
     if tasks:
         rows = rows.repartition(tasks, *RECORD_KEY, "_subject.pos")
     return rows.select(*keep, "_subject", "subject_relations", F.explode("_objects").alias("_object")).select(

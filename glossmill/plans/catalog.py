@@ -255,7 +255,7 @@ def pair_labels(spark, sf):
 @query("entity_markers")
 def entity_markers(spark, sf):
     """The subjects are sent out over many tasks first, as for few and long records."""
-    pairs = entity_pairs(_stored(spark, sf), Ontology.default(), tasks=64)
+    pairs = entity_pairs(_docs(spark, sf), Ontology.default(), tasks=64)
     return mark_pairs(pairs).select("seq", "subj_pos", "obj_pos", "marked")
 
 
@@ -296,8 +296,7 @@ def _sample_query(format, task, re_mode):
     text = ["text"] if format == "causal" else ["system", "user", "assistant"]
 
     def run(spark, sf):
-        docs = _stored(spark, sf) if re_mode == "pairwise" else _docs(spark, sf)
-        samples = build_samples(docs, format, task, re_mode)
+        samples = build_samples(_docs(spark, sf), format, task, re_mode)
         return samples.select("seq", *PAIR_POS, "doc_id", "subject_id", "object_id", *text)
 
     return run
