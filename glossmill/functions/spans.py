@@ -44,4 +44,21 @@ def insert_markers(words: Column, subject: Column, obj: Column) -> Column:
     tagged = F.when(skip_first, words).otherwise(_wrap(words, size, first))
     size_now = size + F.when(skip_first, 0).otherwise(2)
     both = F.when(skip_second, tagged).otherwise(_wrap(tagged, size_now, second))
-    return F.array_join(both, " ")
+    apart = (
+        (second["start"] >= 0) & (second["start"] <= second["end"]) & (second["end"] < first["start"])
+        & (first["start"] <= first["end"]) & (first["end"] < size)
+    )
+    return F.when(apart, _joined_apart(words, size, second, first)).otherwise(F.array_join(both, " "))
+
+
+def _joined_apart(words: Column, size: Column, left: Column, right: Column) -> Column:
+    """The same of two spans that lie in the sentence one behind the other: its pieces are joined without a copy per tag."""
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.slice(words, start + 1, F.greatest(end - start, F.lit(0)))
+
+    return F.concat_ws(
+        " ", piece(F.lit(0), left["start"]), left["open"], piece(left["start"], left["end"] + 1), left["close"],
+        piece(left["end"] + 1, right["start"]), right["open"], piece(right["start"], right["end"] + 1), right["close"],
+        piece(right["end"] + 1, size),
+    )

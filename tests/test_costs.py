@@ -76,3 +76,26 @@ def test_pairs_without_and_with_an_ontology(spark, lines_file):
     assert every == [("all", i, j) for i in range(4) for j in range(4) if i != j] + [("tests", 0, 1), ("tests", 1, 0)]
     allowed = sorted((r.doc_id, r.subj_pos, r.obj_pos, len(r.subject_relations)) for r in entity_pairs(docs, Ontology.default()).collect())
     assert allowed == [("all", 0, 2, 1), ("all", 2, 0, 0), ("all", 3, 0, 0), ("all", 3, 2, 0)]
+
+
+def test_marked_sentences_of_every_two_spans(spark):
+    """Spans that lie apart are joined without a copy of the words per tag; all others as Python's list.insert does it."""
+    from glossmill.functions.spans import insert_markers
+
+    sentence = ["a", "b", "c", "d"]
+    spans = [(s, e) for s in (-1, 0, 1, 3, 5) for e in (-1, 0, 2, 3, 4)]
+    rows = [(n, sentence[:n], x, y) for n in (0, 1, 4) for x in spans for y in spans]
+    span = "struct<start_token_idx:int,end_token_idx:int>"
+    df = spark.createDataFrame(rows, f"n int, words array<string>, x {span}, y {span}")
+    marked = df.select("*", insert_markers(F.col("words"), F.col("x"), F.col("y")).alias("m"))
+    assert "concat_ws" in plan(marked)
+
+    def expected(words, x, y):
+        both = [(x, "<e1>", "</e1>"), (y, "<e2>", "</e2>")]
+        for (start, end), opened, closed in both if x[0] >= y[0] else both[::-1]:
+            if start >= 0 and end >= 0:
+                words.insert(end + 1, closed)
+                words.insert(start, opened)
+        return " ".join(words)
+
+    assert all(r.m == expected(list(r.words), tuple(r.x), tuple(r.y)) for r in marked.collect())
