@@ -7,7 +7,8 @@ current estimate, the nearest share of the rows, their moments, and again. A doc
 by Mahalanobis distance is rejected. The steps start from the medians and go on until no group's determinant falls.
 
 All group figures are sums and percentile sketches, combined before the shuffle, and what a row needs of its group's
-comes to the row, so a group may hold any share of the rows. Very long texts are counted whole, in their row. At equal
+comes to the row, so a group may hold any share of the rows. The nearest share is exact: only the rows that a sketch
+cannot place are put in order, some six in a thousand. Very long texts are counted whole, in their row. At equal
 distance to the nearest share's edge, all rows belong to it. Columns other than doc_id, text, lang and source are
 ignored, whatever their names. Null text: no words. Null lang or source: a group of its own. Small groups and constant statistics: the scatter
 is drawn towards that of ``prior`` rows of unit spread, and no spread counts as less than the floor of its statistic.
@@ -16,7 +17,7 @@ Repeated rows get equal verdicts. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from glossmill.llm.common import stored, table
 from glossmill.session import computed_once
@@ -31,6 +32,7 @@ GROUP = ["group_lang", "group_source"]
 FLOORS = {"log_words": 0.5, "word_length": 0.5, "symbol_share": 0.5, "dup_line_root": 0.12, "repeat_share": 0.06}
 #: Fixed values for five statistics and three quarters of the rows: scatter of the nearest rows to scatter of all.
 SHARE, CONSISTENCY = 0.75, 1.41
+ACCURACY = 1000  # of the sketches: ranks are right to a thousandth of a group's rows
 MOST_GROUPS = 20_000  # of which the figures, some 200 bytes each, are broadcast
 SALTS = 16
 
@@ -115,6 +117,28 @@ def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return with_group(rows, estimates).withColumn("d2", sum((y * y for y in solved), F.lit(0.0)))
 
 
+def nearest_moments(near: DataFrame) -> DataFrame:
+    """Number, sums and sums of products of the nearest share of each group's rows, exact to the row.
+
+    Sketches bracket the share's edge. Rows below the bracket are summed at once, those inside it by distance, and the
+    share ends where their running number does. An edge from a sketch alone would move by its error in each step, and so
+    would the determinants of large groups: the steps would go on by chance, the longer the more rows there are.
+    """
+    p = range(len(FLOORS))
+    sums = {"n": F.lit(1), **{f"s{i}": F.col(f"z{i}") for i in p},
+            **{f"s{i}{j}": F.col(f"z{i}") * F.col(f"z{j}") for i in p for j in range(i + 1)}}
+    off = 3 / ACCURACY
+    bracket = stored(near.groupBy(*GROUP).agg(
+        F.ceil(SHARE * F.count("*")).alias("wanted"),
+        F.percentile_approx("d2", [SHARE - off, SHARE + off], ACCURACY).alias("edges")), "edges")
+    below = with_group(near, bracket).filter(F.col("d2") <= F.col("edges")[1])
+    by_distance = below.groupBy(*GROUP, "wanted", F.when(F.col("d2") >= F.col("edges")[0], F.col("d2")).alias("at")).agg(
+        *(F.sum(x).alias(name) for name, x in sums.items()))
+    nearer = F.sum("n").over(Window.partitionBy(*GROUP).orderBy(F.asc_nulls_first("at")).rowsBetween(Window.unboundedPreceding, -1))
+    inside = by_distance.withColumn("nearer", F.coalesce(nearer, F.lit(0))).filter("nearer < wanted")
+    return inside.groupBy(*GROUP).agg(*(F.sum(name).alias(name) for name in sums))
+
+
 def factored(moments: DataFrame, prior: float) -> DataFrame:
     """Means, lower triangular factor of the scatter and half the logarithm of its determinant of each group.
 
@@ -149,7 +173,7 @@ def outlier_rules(docs: DataFrame, steps: int = 100, cutoff: float = 40.0, prior
     passed = rows.filter(~F.col("base_failed"))
     # First estimate: medians, and quartiles for the unit of each statistic.
     quartiles = passed.groupBy(*GROUP).agg(*(
-        F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(FLOORS)))
+        F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"q{i}") for i, x in enumerate(FLOORS)))
     unit = quartiles.select(*GROUP, *(F.col(f"q{i}")[1].alias(f"c{i}") for i in p), *(
         F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floor)).alias(f"u{i}")
         for i, floor in enumerate(FLOORS.values())))
@@ -160,12 +184,7 @@ def outlier_rules(docs: DataFrame, steps: int = 100, cutoff: float = 40.0, prior
     identity = {"half_log_det": F.lit(0.0)} | {f"m{i}": F.lit(0.0) for i in p} | {f"l{i}{j}": F.lit(float(i == j)) for i in p for j in range(i + 1)}
     estimates = unit.select(*GROUP).withColumns(identity)
     for step in range(steps):
-        near = with_distance(scaled, estimates)
-        edge = stored(near.groupBy(*GROUP).agg(F.percentile_approx("d2", SHARE, 1000).alias("edge")), "edges")
-        subset = with_group(near, edge).filter("d2 <= edge")
-        moments = subset.groupBy(*GROUP).agg(
-            F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"s{i}") for i in p),
-            *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i in p for j in range(i + 1)))
+        moments = nearest_moments(with_distance(scaled, estimates))
         before, estimates = estimates, stored(factored(with_group(moments, floors), prior), "estimates")
         change = with_group(before.select(*GROUP, F.col("half_log_det").alias("old")), estimates)
         # The first step leaves the unit scatter, so its determinant may also rise.

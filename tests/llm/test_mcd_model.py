@@ -105,3 +105,42 @@ def test_awkward_rows_and_columns_of_taken_names(awkward):
     odd = awkward.withColumns({c: F.lit("x") for c in ("words", "group_lang", "kept", "d2", "n_words", "z0", "salt", "edge")})
     plain = lambda df: sorted(map(str, rules.outlier_rules(df).collect()))
     assert plain(odd) == plain(awkward)
+
+
+def test_groups_beyond_a_sketch_take_their_nearest_share_to_the_row(spark, monkeypatch):
+    """A sketched edge moves a determinant by more than the stop asks for: steps go on by chance, the longer the more rows."""
+    rng, n = np.random.default_rng(10), 16_000
+    words = np.exp(rng.normal(5.5, 0.6, n)).astype(int) + 50
+    counts = spark.createDataFrame([tuple(map(int, r[:1])) + (f"l{r[0] % 4}", "s") + tuple(map(int, r[1:])) for r in zip(
+        range(n), words, words * rng.normal(5, 0.8, n), rng.poisson(rng.gamma(1.0, 6.0, n)), rng.binomial(20, 0.1, n),
+        np.full(n, 20), words * rng.beta(1, 12, n))],
+        "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
+    made = {}
+    stored = rules.stored
+
+    def noted(df, label):
+        made.setdefault(label, []).append(stored(df, label))
+        return made[label][-1]
+
+    monkeypatch.setattr(rules, "stored", noted)
+    monkeypatch.setattr(rules, "text_counts", lambda docs: docs)
+    found = {r.doc_id: r.distance2 for r in rules.outlier_rules(counts.repartition(4)).collect()}
+    scaled, floors = made["scaled"][0].toPandas(), made["floors"][0].toPandas().set_index("group_lang")
+    state = {lang: [g.doc_id.tolist(), g[[f"z{i}" for i in range(5)]].to_numpy(), np.zeros(5), np.eye(5), 0.0] for lang, g in scaled.groupby("group_lang")}
+    for step in range(100):
+        fall = []
+        for lang, s in state.items():
+            _, z, centre, root, old = s
+            d2 = (np.linalg.solve(root, (z - centre).T) ** 2).sum(axis=0)
+            near = z[d2 <= quantile(d2, rules.SHARE)]
+            centre = near.mean(axis=0)
+            scatter = (rules.CONSISTENCY * (near.T @ near - len(near) * np.outer(centre, centre)) + 20.0 * np.eye(5)) / (len(near) + 20.0)
+            root = factor(scatter, floors.loc[lang, [f"f{i}" for i in range(5)]].to_numpy(float))
+            s[2:] = centre, root, np.log(np.diag(root)).sum()
+            fall.append(old - s[4])
+        if step and max(fall) <= 1e-3:
+            break
+    assert len(state) == 4 and len(made["estimates"]) == step + 1
+    for ids, z, centre, root, _ in state.values():
+        expected = (np.linalg.solve(root, (z - centre).T) ** 2).sum(axis=0)
+        assert [found[i] for i in ids] == pytest.approx(expected.tolist(), rel=1e-6, abs=1e-9)
