@@ -32,8 +32,8 @@ def numbered_name(path: Column) -> Column:
         F.regexp_replace(path, F.lit(r"part-\d+([^/]*)$"), F.concat(F.lit("part-"), F.lpad(number, 10, "0"), F.lit("$1"))))
 
 
-def with_order_key(lines: DataFrame, source_idx: int) -> DataFrame:
-    """Add the position of every line: source, file, file split, line within the scan.
+def with_order_key(lines: DataFrame, source_idx: int | Column, seq: Column | None = None) -> DataFrame:
+    """Add the position of every line: source, file, file split, line within the scan (``seq`` if it is known already).
 
     Sorting by it restores the order of the files.  It belongs to one run of the scan, so write the
     rows once and use the stored key from then on.
@@ -42,14 +42,19 @@ def with_order_key(lines: DataFrame, source_idx: int) -> DataFrame:
         F.lit(source_idx).alias("source_idx"),
         numbered_name(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
+        (F.monotonically_increasing_id() if seq is None else seq).alias("seq"),
         "value",
     )
 
 
 def trimmed(lines: DataFrame) -> DataFrame:
-    """The lines without white space around them, and without those of nothing else."""
-    return lines.withColumn("value", strip(F.col("value"))).filter(F.col("value") != "")
+    """The lines without white space around them, and without those of nothing else.
+
+    Trimming reads a line to its end, so a line that begins and ends as an object does is taken as it is.
+    """
+    value = F.col("value")
+    bare = value.startswith("{") & value.endswith("}")
+    return lines.withColumn("value", F.when(bare, value).otherwise(strip(value))).filter(value != "")
 
 
 def lines_of(keyed: DataFrame, source: str, hint: str) -> DataFrame:

@@ -17,7 +17,7 @@ from glossmill.schemas import ORDER_KEY, RECORD_KEY
 from glossmill.session import scratch_root
 from glossmill.sources.jsonl import existing_sources, load_documents, load_into, load_lines, read_jsonl, write_jsonl
 from glossmill.sources.lines import listing, lines_in, scan_lines
-from glossmill.streaming.predict import predict_stream, running_scores
+from glossmill.streaming.predict import batch_number, in_slices, predict_stream, running_scores
 
 
 def plan(df):
@@ -352,3 +352,55 @@ def test_compressed_lines_are_read_back_in_order(spark, tmp_path):
     assert names and all(n.endswith(".gz") for n in names)
     for read in (scan_lines(spark, [(path, "auto")]), read_jsonl(spark, path)):
         assert [r.value for r in read.orderBy(*ORDER_KEY).collect()] == [f"line {i}" for i in range(2000)]
+
+
+def empty_answers():
+    return lambda prompts: ["{}" for _ in prompts]
+
+
+def test_a_compressed_file_of_a_stream_is_worked_by_several_tasks(spark, tmp_path):
+    """One task reads a compressed file; its lines are still parsed and answered by all of them, under the same keys."""
+    source = tmp_path / "src"
+    source.mkdir()
+    for name, first in (("part-00000.gz", 0), ("part-00001.gz", 500)):
+        with gzip.open(source / name, "wt", newline="") as f:
+            for i in range(first, first + 500):
+                f.write(f"\u00a0{json.dumps(record(str(i), f' t {i}'))}\t\n" if i % 3 else json.dumps(record(str(i), f"t {i}")) + "\n\n")
+    query = predict_stream(spark, str(source), f"{tmp_path}/dst", f"{tmp_path}/state", empty_answers, documents=f"{tmp_path}/docs")
+    query.awaitTermination()
+    assert query.exception() is None
+    docs, answers = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/dst")
+    in_order = docs.orderBy(*ORDER_KEY).collect()
+    assert [r.doc_id for r in in_order] == [str(i) for i in range(1000)]
+    assert [r.text for r in in_order] == [f"t {i}" for i in range(1000)]
+    assert sorted(r.doc_id for r in answers.collect()) == sorted(str(i) for i in range(1000))
+    assert docs.join(answers, ["source_idx", "seq", "doc_id"]).count() == 1000
+    # A line's key is its task's number and its place among the lines that task read, whichever slice it is in.
+    assert sorted(r.seq >> 33 for r in in_order) == [0] * 500 + [1] * 500
+    for place in (0, 1):
+        rows = [r.seq & (1 << 33) - 1 for r in in_order if r.seq >> 33 == place]
+        assert rows == sorted(set(rows))
+    for folder, files in (("docs", 4), ("dst", 3)):  # by 4 cores; small files are read by fewer tasks
+        sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/{folder}").groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) >= files and max(sizes) < 500
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 3, 8, 50])
+def test_slices_hold_every_line_once(spark, tmp_path, tasks):
+    spark.range(0, 1000, 1, 3).select(F.concat(F.lit("line "), "id").alias("value")).write.option("compression", "gzip").text(f"{tmp_path}/in")
+    lines = spark.read.text(f"{tmp_path}/in").select("value", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_metadata"))
+    whole = lines.select(F.monotonically_increasing_id().alias("seq"), "value").collect()
+    sliced = in_slices(lines, tasks)
+    assert sorted((r.seq, r.value) for r in sliced.collect()) == sorted((r.seq, r.value) for r in whole)
+    assert sliced.rdd.getNumPartitions() >= min(tasks, 8 * lines.rdd.getNumPartitions())
+
+
+def test_micro_batches_share_their_generated_code(spark):
+    lines = spark.range(3).select(F.concat(F.lit("x"), "id").alias("value"))
+    code = []
+    for n in (7, 4711):
+        df = lines.select(batch_number(n).alias("source_idx"), "value")
+        assert [r.source_idx for r in df.collect()] == [n] * 3
+        parts = df._jdf.queryExecution().debug().codegenToSeq()
+        code.append([parts.apply(i)._2() for i in range(parts.size())])
+    assert code[0] and code[0] == code[1]
